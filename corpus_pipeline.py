@@ -1,20 +1,55 @@
-"""From raw documents to packed training sequences: five stages, each one of this package's operators."""
+"""From raw documents to packed training sequences: five stages, each one of the package's operators.
+
+Every stage reads all that the one before kept, as Parquet in the cluster's shared folder.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import mixing, quality
+from ledgerloom.llm import mixing, ngram_join, packing, quality, secrets
+from ledgerloom.llm.common import stored
+from ledgerloom.llm.queries import tokenizer_path
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality.keep_good(docs)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return ngram_join.keep_first(docs)
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked; no document goes."""
+    return secrets.redact(docs)
+
+
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.take_mix(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of packed sequences."""
+    return packing.pack(docs, tokenizer_path())
+
 
 STAGES = [
-    ("quality", lambda spark, docs, sf_dir: quality.keep_good(docs)),
-    ("mix", lambda spark, docs, sf_dir: mixing.take_mix(docs)),
+    ("quality rules", quality_stage),
+    ("n-gram Jaccard join", near_duplicate_stage),
+    ("secret scan", secret_stage),
+    ("source mix", mix_stage),
+    ("packing", packing_stage),
 ]
+#: Tokenizing isn't expressible in SQL; the tests hold the result against a plain Python version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -40,6 +40,14 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def starts(lengths: Column, block: int = 256) -> Column:
+    """Sums of what stands before each element, in blocks so that long lists stay cheap."""
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+    run = lambda xs, start: F.slice(F.aggregate(xs, F.array(start), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x))), 1, F.size(xs))
+    blocks = F.transform(F.sequence(F.lit(1), F.size(lengths), F.lit(block)), lambda i: F.slice(lengths, i, block))
+    return let(blocks, lambda bs: let(run(F.transform(bs, total), F.lit(0)), lambda at: F.flatten(F.transform(bs, lambda b, k: run(b, F.get(at, k))))))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see, as the cluster names it; a temporary one only where none is set (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
