@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, langid, mixing, ngram_join, packing, quality, secrets, urls, vectors
+from . import chat, langid, licenses, mixing, ngram_join, packing, quality, secrets, urls, vectors
 from .common import table
 
 
@@ -43,6 +44,16 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        F.size("licenses").cast("long").alias("n_licenses"),
+        F.array_join(F.transform("licenses", lambda x: x["name"]), ",").alias("licenses"),
+        F.array_max(F.transform("licenses", lambda x: x["percent"])).alias("best_percent"),
+    )
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find(table(spark, sf_dir, "documents")))
 
@@ -65,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_embedding_lsh,
         op5_url_rules,
         op6_source_mix,
+        op7_license_scan,
         op8_secret_scan,
         op9_chat_format,
         op10_language_id,
