@@ -25,6 +25,7 @@ SUBJECTS = [
 #: How sure a shared entity of each kind makes a link, and its name.
 LINK_KINDS = {"organization": ("shared_publisher", 0.95), "geographic_unit": ("shared_geo", 0.9), "time_period": ("shared_time", 0.7), "named_subject": ("shared_subject", 0.6), "tag": ("shared_tag", 0.5), "group": ("shared_group", 0.7)}
 MAX_FANOUT = 50
+PATTERN_BLOCK = 5000
 
 
 def _found(rows: DataFrame, entity: Column, kind: str, label: Column, extractor: str, confidence: Column | float) -> DataFrame:
@@ -48,11 +49,14 @@ def place_matches(texts: DataFrame, gazetteer: DataFrame, key: str = "dataset_id
     """(key, place_id, label, match_type): places whose name or alias a text holds, lower-cased, no word ends asked.
 
     Of a place's patterns in a text the longest decides the match type. gazetteer: (ord, place_id, label,
-    pattern, match_type), a published list of some hundred patterns, small beside any text table.
+    pattern, match_type), a published list of some hundred patterns. Patterns are broadcast in blocks of about
+    PATTERN_BLOCK; each block reads the texts once.
     """
-    g = F.broadcast(gazetteer.withColumn("pattern", F.lower("pattern")))
     low = texts.select(key, F.lower("text").alias("low"))
-    hits = low.join(g, F.contains(F.col("low"), F.col("pattern"))).drop("low")
+    n_blocks = -(-gazetteer.count() // PATTERN_BLOCK) or 1
+    blocks = gazetteer.withColumn("pattern", F.lower("pattern")).withColumn("__b", F.pmod(F.xxhash64("pattern", "ord"), F.lit(n_blocks)))
+    found = [low.join(F.broadcast(blocks.where(F.col("__b") == b)), F.contains(F.col("low"), F.col("pattern"))).drop("low", "__b") for b in range(n_blocks)]
+    hits = reduce(DataFrame.unionByName, found)
     best = F.min_by(F.struct("label", "match_type"), F.struct(-F.length("pattern"), F.col("ord")))
     return hits.groupBy(key, "place_id").agg(best.alias("m")).select(key, "place_id", "m.label", "m.match_type")
 

@@ -7,8 +7,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.joins import broadcast_if_small
 from .catalog import strongest_places
 
+MAX_UNITS = 100_000
+
 
 def expand_places(chosen: DataFrame, units: DataFrame) -> DataFrame:
     """(id): the chosen units and the municipalities of the chosen oblasts, once each."""
@@ -22,8 +25,8 @@ def national(datasets: DataFrame, geo_links: DataFrame) -> DataFrame:
 
 
 def _placed(geo_links: DataFrame, units: DataFrame, level: str) -> DataFrame:
-    """(dataset_id, region, confidence): each dataset once a region, at its strongest. The hierarchy is a published list of some hundred units."""
-    u = F.broadcast(units.select(F.col("id").alias("entity_id"), "kind", "parent"))
+    """(dataset_id, region, confidence): each dataset once a region, at its strongest. The hierarchy, some hundred units, is broadcast up to MAX_UNITS."""
+    u = broadcast_if_small(units.select(F.col("id").alias("entity_id"), "kind", "parent"), MAX_UNITS)
     target = F.when(F.col("kind") == level, F.col("entity_id")).when((F.lit(level) == "oblast") & (F.col("kind") == "municipality"), F.col("parent"))
     at = strongest_places(geo_links).join(u, "entity_id").withColumn("region", target).where("region is not null")
     return at.groupBy("dataset_id", "region").agg(F.max("confidence").alias("confidence"))

@@ -153,14 +153,14 @@ def l4_rate_limit(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT run_id, CAST(count(*) AS INTEGER) AS datasets, CAST(sum(k) AS BIGINT) AS events FROM (SELECT run_id, dataset_id, count(*) AS k FROM run_events GROUP BY 1, 2) GROUP BY 1""",
+    """SELECT run_id, count(*) AS datasets, CAST(sum(k) AS BIGINT) AS events FROM (SELECT run_id, dataset_id, count(*) AS k FROM run_events GROUP BY 1, 2) GROUP BY 1""",
     "run_events",
 )
 def a17_manifest(spark: SparkSession, d: str) -> DataFrame:
     from ..sources import sinks
 
-    out = sinks.manifest(run_events(spark, d).withColumnRenamed("event_id", "resource_id"))
-    return out.select("run_id", F.size("datasets").alias("datasets"), F.col("totals.resources").alias("events"))
+    entries = sinks.manifest(run_events(spark, d).withColumnRenamed("event_id", "resource_id"))
+    return sinks.manifest_totals(entries).select("run_id", "datasets", F.col("resources").alias("events"))
 
 
 @query("""SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY total DESC, event_id) AS r FROM usage) WHERE r <= 50""", "usage")

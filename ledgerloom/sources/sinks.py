@@ -37,13 +37,20 @@ def write_curated(cells: DataFrame, schemas: DataFrame, path: str) -> None:
 
 
 def manifest(events: DataFrame) -> DataFrame:
-    """(run_id, datasets, totals): each run's datasets with their resources.
+    """(run_id, dataset_id, resources): a manifest's entries, a row per dataset of a run with its own few resources.
 
-    Resources are collected per dataset first; a dataset's own resources are few.
+    A run's datasets stay rows, so that no row grows with the catalogue; written by run they make one file set a run.
     """
-    by = events.groupBy("run_id", "dataset_id").agg(F.array_sort(F.collect_list(F.struct("resource_id", "outcome"))).alias("resources"))
-    own = by.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("dataset_id", "resources"))).alias("datasets"), F.sum(F.size("resources")).alias("n"))
-    return own.select("run_id", "datasets", F.struct(F.size("datasets").alias("datasets"), F.col("n").alias("resources")).alias("totals"))
+    return events.groupBy("run_id", "dataset_id").agg(F.array_sort(F.collect_list(F.struct("resource_id", "outcome"))).alias("resources"))
+
+
+def manifest_totals(entries: DataFrame) -> DataFrame:
+    return entries.groupBy("run_id").agg(F.count("*").alias("datasets"), F.sum(F.size("resources")).alias("resources"))
+
+
+def write_manifest(entries: DataFrame, path: str) -> None:
+    entries.write.partitionBy("run_id").json(f"{path}/entries")
+    manifest_totals(entries).write.json(f"{path}/totals")
 
 
 def read_resource_page(

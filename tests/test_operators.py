@@ -123,9 +123,10 @@ def test_fusion_and_recall(spark):
     v = spark.createDataFrame([(1, 11, 1), (1, 12, 2)], "query_id long, id long, rank int")
     got = [(r["id"], r["kind"]) for r in search.fuse(k, v).orderBy("rank").collect()]
     assert got == [(11, "hybrid"), (10, "keyword"), (12, "semantic")]
-    expected = spark.createDataFrame([(1, "bg", [12]), (2, "en", [5])], "query_id long, lang string, ids array<long>")
-    r = {x["lang"]: x["recall"] for x in search.recall(search.fuse(k, v), expected).collect()}
-    assert r == {"bg": 1.0, "en": 0.0} and search.misses(search.fuse(k, v), expected).count() == 1
+    asked = spark.createDataFrame([(1, "bg"), (2, "en")], "query_id long, lang string")
+    expected = spark.createDataFrame([(1, 12), (2, 5)], "query_id long, id long")
+    r = {x["lang"]: x["recall"] for x in search.recall(search.fuse(k, v), asked, expected).collect()}
+    assert r == {"bg": 1.0, "en": 0.0} and search.misses(search.fuse(k, v), asked, expected).count() == 1
 
 
 def test_guards(spark):
