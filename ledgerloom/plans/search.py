@@ -72,7 +72,7 @@ def k3_hybrid(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"WITH {HYBRID_SQL.replace('{top}', '5')} SELECT query_id, id, split_part(text, chr(10), 1) AS title, CASE WHEN id % 2 = 0 THEN source ELSE CAST(id AS VARCHAR) END AS path FROM hyb LEFT JOIN documents ON doc_id = id"
+    f"WITH {HYBRID_SQL.replace('{top}', '5')} SELECT query_id, id, split_part(text, chr(10), 1) AS title, CASE WHEN id % 2 = 0 AND source IS NOT NULL THEN source ELSE CAST(id AS VARCHAR) END AS path FROM hyb LEFT JOIN documents ON doc_id = id"
 )
 def k4_decorated(spark: SparkSession, d: str) -> DataFrame:
     arts = t(spark, d, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("dataset_id"), F.concat_ws("/", "source", "doc_id").alias("path"), F.lit(1).alias("created_at"))
