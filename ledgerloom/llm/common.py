@@ -93,6 +93,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     cur = stored(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "cc"
     )
+    if cur.isEmpty():
+        return cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(max_rounds):
         # large star: every larger neighbour of u moves to the smallest node around u
         both = cur.select("u", "v").unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -7,6 +7,8 @@ A document's set is its distinct 5-word shingles (64-bit hashes). Two documents
    order for all sets: by a count sketch of fixed size over all shingles, then by hash.
 2. Of the sets that share a listed shingle the first is the pivot; each set is compared with its pivots,
    one at first, then those not yet in its component. The components so found are the groups.
+   A shingle's place in both sets bounds what they can share from there on; pairs that can't link at
+   their first common shingle are never compared.
 3. The token-group matrix has a row per (listed shingle, block), a block being a bounded part of a
    group. A set that meets blocks of another group is bounded by its overlap with the block's token
    union; blocks that can't reach the threshold stay closed, and only the members of the others are
@@ -103,12 +105,14 @@ def sets_of(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, sketch = Shingler(), np.zeros(SKETCH, np.uint32)
         for batch in batches:
-            sids, sizes = [], []
+            sids, sizes, met = [], [], []
             for t in batch.column(1).to_pylist():
                 s = shingle(t)
                 sids.append(set_id(s) if len(s) else None)
                 sizes.append(len(s))
-                np.add.at(sketch, (s & np.uint64(SKETCH - 1)).astype(np.int64), 1)
+                met.append(s)
+            if met:
+                sketch += np.bincount((np.concatenate(met) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
             nothing = pa.nulls(len(sids), pa.binary())
             cols = [batch.column(0), batch.column(2), pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()), nothing, pa.nulls(len(sids), pa.int32())]
             yield pa.RecordBatch.from_arrays(cols, names)
@@ -143,13 +147,17 @@ def sets_of(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
 
 
 def postings(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """(token, sid, n, pivot, pivot_n): listed shingles that two or more sets share, each with the run's first set."""
+    """(token, sid, n, pos, pivot, pivot_n, pivot_pos): listed shingles that two or more sets share, each with the run's first set.
+
+    A token is a shingle's level and 56 bits of its hash, so tokens sort in the order that all sets share;
+    pos is a token's place in its set.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(levels)  # of fixed size
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, level, seen = Shingler(), shared.value, set()
         for batch in batches:
-            tokens, sids, sizes = [], [], []
+            tokens, sids, sizes, places = [], [], [], []
             for t in batch.column(0).to_pylist():
                 s = shingle(t)
                 if not len(s) or (sid := set_id(s)) in seen:
@@ -158,51 +166,52 @@ def postings(docs: DataFrame, levels: np.ndarray) -> DataFrame:
                     seen.clear()  # repeats that slip through are dropped after the sort
                 seen.add(sid)
                 k = len(s) - least_overlap(len(s)) + 1
-                rank = level[(s & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.int64)
-                tokens.append(s[np.lexsort((s, rank))[:k]].astype(np.int64))
+                rank = level[(s & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.uint64)
+                tokens.append(np.sort((rank << np.uint64(56)) | (s >> np.uint64(8)))[:k].view(np.int64))
                 sids.append(np.full(k, sid, np.int64))
                 sizes.append(np.full(k, len(s), np.int32))
+                places.append(np.arange(k, dtype=np.int32))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, sids, sizes)], ["token", "sid", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, sids, sizes, places)], ["token", "sid", "n", "pos"])
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # token, sid, n of the open run's pivot; whether it has been sent
+        held = None  # token, sid, n, pos of the open run's pivot; whether it has been sent
         last = None
         for batch in batches:
-            t, s, n = (batch.column(i).to_numpy() for i in range(3))
+            cols = [batch.column(i).to_numpy() for i in range(4)]
+            t, s = cols[:2]
             fresh = np.ones(len(t), bool)
             fresh[1:] = (t[1:] != t[:-1]) | (s[1:] != s[:-1])
             if last is not None and len(t):
                 fresh[0] = (int(t[0]), int(s[0])) != last
             if len(t):
                 last = (int(t[-1]), int(s[-1]))
-            t, s, n = t[fresh], s[fresh], n[fresh]
-            if not len(t):
+            cols = [x[fresh] for x in cols]
+            if not len(cols[0]):
                 continue
-            sent_first = False
+            was_sent = False
             if held is not None:
-                t, s, n = (np.concatenate(([v], x)) for v, x in zip(held[:3], (t, s, n), strict=True))
-                sent_first = held[3]
+                cols = [np.concatenate(([v], x)) for v, x in zip(held[:4], cols, strict=True)]
+                was_sent = held[4]
+            t, s, n, p = cols
             begin = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
             size = np.diff(np.concatenate((begin, [len(t)])))
             run = np.repeat(np.arange(len(begin)), size)
             send = size[run] > 1
-            was_sent = held is not None and held[3]
             if was_sent:
                 send[0] = False
-                send[1 : size[0]] = True
             b = begin[-1]
-            held = (t[b], s[b], n[b], bool(size[-1] > 1) or (len(begin) == 1 and sent_first))
+            held = (t[b], s[b], n[b], p[b], bool(size[-1] > 1) or (len(begin) == 1 and was_sent))
             if send.any():
                 pivot = begin[run[send]]
-                cols = (t[send], s[send], n[send].astype(np.int32), s[pivot], n[pivot].astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["token", "sid", "n", "pivot", "pivot_n"])
+                out = (t[send], s[send], n[send].astype(np.int32), p[send].astype(np.int32), s[pivot], n[pivot].astype(np.int32), p[pivot].astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["token", "sid", "n", "pos", "pivot", "pivot_n", "pivot_pos"])
 
     small_batches(docs.sparkSession)
-    rows = docs.select("text").mapInArrow(listed, "token long, sid long, n int")
+    rows = docs.select("text").mapInArrow(listed, "token long, sid long, n int, pos int")
     rows = rows.repartition("token").sortWithinPartitions("token", "sid")
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    out = stored(rows.mapInArrow(runs, "token long, sid long, n int, pivot long, pivot_n int"), "postings")
+    out = stored(rows.mapInArrow(runs, "token long, sid long, n int, pos int, pivot long, pivot_n int, pivot_pos int"), "postings")
     small_batches(docs.sparkSession)
     return out
 
@@ -255,29 +264,39 @@ def _grouped(labels: DataFrame | None, rows: DataFrame, column: str, name: str)
     return rows.join(at, F.col(column) == F.col("__n"), "left").withColumn(name, F.coalesce("__c", column)).drop("__n", "__c")
 
 
-def near_size(n: str, m: str) -> Column:
-    """Sizes that let two sets link at all."""
-    return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
+def may_link(n: Column, rest: Column, m: Column, m_rest: Column) -> Column:
+    """Whether sets of n and m shingles can link when a token is their first in common and ``rest`` and ``m_rest`` of theirs start there.
+
+    They share no more than the shorter rest, and must share PERCENT / (100 + PERCENT) of both sizes. Every
+    linked pair meets this at its first common token, so a pair that meets it nowhere can go.
+    """
+    return (100 + PERCENT) * F.least(rest, m_rest).cast("long") >= PERCENT * (n + m).cast("long")
+
+
+def merged_labels(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """(node, component) after more ``edges`` (a, b): only the components that these join are worked on again."""
+    if labels is None:
+        return connected_components(edges)
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).union(labels.select("node")).distinct()
+    between = _grouped(labels, _grouped(labels, edges, "a", "ga"), "b", "gb").where("ga <> gb").select(F.col("ga").alias("a"), F.col("gb").alias("b"))
+    joined = connected_components(between)
+    return stored(_grouped(joined, _grouped(labels, nodes, "node", "g"), "g", "component").select("node", "component"), "labels")
 
 
 def components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row per row of ``docs`` (doc_id, text)."""
     sets, levels = sets_of(docs)
     posted = postings(docs, levels)
-    tried = stored(posted.where("sid <> pivot").where(near_size("n", "pivot_n")).select(F.col("sid").alias("a"), F.col("pivot").alias("b")).distinct(), "pivots")
+    near = may_link(F.col("n"), F.col("n") - F.col("pos"), F.col("pivot_n"), F.col("pivot_n") - F.col("pivot_pos"))
+    tried = stored(posted.where("sid <> pivot").where(near).select(F.col("sid").alias("a"), F.col("pivot").alias("b")).distinct(), "pivots")
     texts = texts_of(docs, sets, tried.select(F.col("a").alias("sid")).union(tried.select("b")))
     first = tried.groupBy("a").agg(F.min("b").alias("b"))
-    edges = stored(compare(first, texts), "links")
-    labels = connected_components(edges)
+    labels = merged_labels(None, stored(compare(first, texts), "links"))
     # the other pivots, where they'd join two groups
     rest = tried.join(first, ["a", "b"], "left_anti")
     rest = _grouped(labels, _grouped(labels, rest, "a", "ga"), "b", "gb").where("ga <> gb").select("a", "b")
-    rest = stored(rest, "pivots")
-    more = stored(compare(rest, texts), "links")
-    edges = edges.unionByName(more)
-    labels = connected_components(edges)
-    edges = edges.unionByName(_across_groups(docs, sets, posted, labels))
-    labels = connected_components(edges)
+    labels = merged_labels(labels, stored(compare(stored(rest, "pivots"), texts), "links"))
+    labels = merged_labels(labels, _across_groups(docs, sets, posted, labels))
 
     known = sets.where("sid is not null")
     at = stored(_grouped(labels, known, "sid", "g"), "members")
@@ -289,7 +308,7 @@ def components(docs: DataFrame) -> DataFrame:
 
 def _across_groups(docs: DataFrame, sets: DataFrame, posted: DataFrame, labels: DataFrame) -> DataFrame:
     """Links between different groups, found over the token-group matrix."""
-    at = _grouped(labels, posted.select("token", "sid", "n"), "sid", "g")
+    at = _grouped(labels, posted.select("token", "sid", "n", "pos"), "sid", "g")
     mixed = at.groupBy("token").agg(F.min("g").alias("g1"), F.max("g").alias("g2")).where("g1 <> g2").select("token")
     at = stored(at.join(mixed, "token", "left_semi"), "matrix")
     # blocks: bounded parts of a group, over the sets that meet another group at all
@@ -298,9 +317,13 @@ def _across_groups(docs: DataFrame, sets: DataFrame, posted: DataFrame, labels:
     nodes = nodes.join(counts, F.col("g") == F.col("g_")).withColumn("block", F.xxhash64("g", F.pmod(F.xxhash64("sid"), "parts")))
     nodes = stored(nodes.select("sid", "n", "g", "block"), "blocks")
     rows = at.join(nodes.select("sid", "block"), "sid")
-    matrix = rows.groupBy("token", "block").agg(F.first("g").alias("bg"), F.min("n").alias("lo"), F.max("n").alias("hi"))
-    queries = at.select("token", "sid", "n", "g")
-    met = queries.join(matrix, "token").where("g <> bg").where(f"100 * hi >= {PERCENT} * n and {PERCENT} * lo <= 100 * n")
+    sums = [F.first("g").alias("bg"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("rest")]
+    matrix = rows.groupBy("token", "block").agg(*sums)
+    queries = at.select("token", "sid", "n", "g", "pos")
+    # of the block's sizes the least that could link gives the bound
+    least = F.greatest(F.col("lo"), F.ceil(F.col("n") * PERCENT / 100)).cast("long")
+    possible = (F.col("g") != F.col("bg")) & (100 * F.col("hi") >= PERCENT * F.col("n")) & (PERCENT * F.col("lo") <= 100 * F.col("n"))
+    met = queries.join(matrix, "token").where(possible & may_link(F.col("n"), F.col("n") - F.col("pos"), least, F.col("rest")))
     met = stored(met.groupBy("sid", "block").agg(F.first("n").alias("n")), "met")
     if met.isEmpty():
         return docs.sparkSession.createDataFrame([], "a long, b long")
