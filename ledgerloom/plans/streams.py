@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..streaming import jobs
-from .base import query, run_events, scratch, t, usage
+from .base import query, run_events, scratch, usage
 from .changes import ACTIONS_SQL, _index_tables
 from .curation import _line_files
 
