@@ -5,8 +5,9 @@ A document's set is its distinct 5-word shingles (64-bit hashes). Two documents
 
 1. Every set lists its rarest shingles, as many as a partner can't all miss (the prefix filter), in one
    order for all sets: by a count sketch of fixed size over all shingles, then by hash.
-2. Of the sets that share a listed shingle the first is the pivot; each set is compared with its pivots,
-   one at first, then those not yet in its component. The components so found are the groups.
+2. Of the sets that share a listed shingle, in order of size, the first is the pivot; the pivot and the
+   set before are a set's partners. In each of ROUNDS a set is compared with the partner that most of its
+   shingles name among those not yet in its component. The components so found are the groups.
    A shingle's place in both sets bounds what they can share from there on; pairs that can't link at
    their first common shingle are never compared.
 3. The token-group matrix has a row per (listed shingle, block), a block being a bounded part of a
@@ -43,6 +44,8 @@ SKETCH, SKETCH_ROW = 1 << 20, 1 << 12
 BLOCK, UNION_BITS = 64, 1 << 16
 #: Sets that one pivot is compared with in one stretch.
 STRETCH = 512
+#: Rounds in which each set is compared with its likeliest partner.
+ROUNDS = 3
 MAX_BROADCAST = 200_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -77,7 +80,8 @@ class Shingler:
             h ^= h >> np.uint64(29)
         h *= _ODD[1]
         h ^= h >> np.uint64(32)
-        return np.unique(h)
+        h.sort()
+        return h[np.concatenate(([True], h[1:] != h[:-1]))]
 
 
 def set_id(shingles: np.ndarray) -> int:
@@ -147,7 +151,9 @@ def sets_of(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
 
 
 def postings(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """(token, sid, n, pos, pivot, pivot_n, pivot_pos): listed shingles that two or more sets share, each with the run's first set.
+    """(token, sid, n, pos) of listed shingles that two or more sets share, each with the run's pivot and the set before (pivot, pivot_n, pivot_pos, prev, prev_n, prev_pos).
+
+    A token's run goes by size: the set before is the likeliest partner where a run mixes groups.
 
     A token is a shingle's level and 56 bits of its hash, so tokens sort in the order that all sets share;
     pos is a token's place in its set.
@@ -175,6 +181,7 @@ def postings(docs: DataFrame, levels: np.ndarray) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, sids, sizes, places)], ["token", "sid", "n", "pos"])
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["token", "sid", "n", "pos", "pivot", "pivot_n", "pivot_pos", "prev", "prev_n", "prev_pos"]
         held = None  # token, sid, n, pos of the open run's pivot; whether it has been sent
         last = None
         for batch in batches:
@@ -204,14 +211,18 @@ def postings(docs: DataFrame, levels: np.ndarray) -> DataFrame:
             held = (t[b], s[b], n[b], p[b], bool(size[-1] > 1) or (len(begin) == 1 and was_sent))
             if send.any():
                 pivot = begin[run[send]]
-                out = (t[send], s[send], n[send].astype(np.int32), p[send].astype(np.int32), s[pivot], n[pivot].astype(np.int32), p[pivot].astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["token", "sid", "n", "pos", "pivot", "pivot_n", "pivot_pos"])
+                at = np.flatnonzero(send)
+                before = np.maximum(at - 1, pivot)  # the pivot has none before it
+                out = [t[at], s[at], n[at].astype(np.int32), p[at].astype(np.int32)]
+                for k in (pivot, before):
+                    out += [s[k], n[k].astype(np.int32), p[k].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names)
 
     small_batches(docs.sparkSession)
     rows = docs.select("text").mapInArrow(listed, "token long, sid long, n int, pos int")
-    rows = rows.repartition("token").sortWithinPartitions("token", "sid")
+    rows = rows.repartition("token").sortWithinPartitions("token", "n", "sid")
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    out = stored(rows.mapInArrow(runs, "token long, sid long, n int, pos int, pivot long, pivot_n int, pivot_pos int"), "postings")
+    out = stored(rows.mapInArrow(runs, "token long, sid long, n int, pos int, pivot long, pivot_n int, pivot_pos int, prev long, prev_n int, prev_pos int"), "postings")
     small_batches(docs.sparkSession)
     return out
 
@@ -287,15 +298,20 @@ def components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row per row of ``docs`` (doc_id, text)."""
     sets, levels = sets_of(docs)
     posted = postings(docs, levels)
-    near = may_link(F.col("n"), F.col("n") - F.col("pos"), F.col("pivot_n"), F.col("pivot_n") - F.col("pivot_pos"))
-    tried = stored(posted.where("sid <> pivot").where(near).select(F.col("sid").alias("a"), F.col("pivot").alias("b")).distinct(), "pivots")
+    # candidates, and in how many listed shingles each partner stood for the set
+    both = F.array(*[F.struct(F.col(k).alias("b"), F.col(f"{k}_n").alias("m"), F.col(f"{k}_pos").alias("m_pos")) for k in ("pivot", "prev")])
+    pairs = posted.select(F.col("sid").alias("a"), "n", "pos", F.explode(F.array_distinct(both)).alias("x")).select("a", "n", "pos", "x.*").where("a <> b")
+    pairs = pairs.where(may_link(F.col("n"), F.col("n") - F.col("pos"), F.col("m"), F.col("m") - F.col("m_pos")))
+    tried = stored(pairs.groupBy("a", "b").agg(F.count("*").alias("votes")), "pivots")
     texts = texts_of(docs, sets, tried.select(F.col("a").alias("sid")).union(tried.select("b")))
-    first = tried.groupBy("a").agg(F.min("b").alias("b"))
-    labels = merged_labels(None, stored(compare(first, texts), "links"))
-    # the other pivots, where they'd join two groups
-    rest = tried.join(first, ["a", "b"], "left_anti")
-    rest = _grouped(labels, _grouped(labels, rest, "a", "ga"), "b", "gb").where("ga <> gb").select("a", "b")
-    labels = merged_labels(labels, stored(compare(stored(rest, "pivots"), texts), "links"))
+    labels, open_ = None, tried
+    for _ in range(ROUNDS):
+        best = stored(open_.groupBy("a").agg(F.max_by("b", F.struct("votes", "b")).alias("b")), "pivots")
+        labels = merged_labels(labels, stored(compare(best, texts), "links"))
+        # what is left that would join two groups; the matrix finds the rest
+        open_ = tried.join(best, ["a", "b"], "left_anti")
+        open_ = _grouped(labels, _grouped(labels, open_, "a", "ga"), "b", "gb").where("ga <> gb").select("a", "b", "votes")
+        tried = open_ = stored(open_, "pivots")
     labels = merged_labels(labels, _across_groups(docs, sets, posted, labels))
 
     known = sets.where("sid is not null")
