@@ -28,8 +28,10 @@ CLASSES = ["lower", "upper", "letter", "digit", "point", "symbol", "space", "res
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Guards: characters and words below which a histogram isn't compared.
 MIN_CHARS_JS, MIN_WORDS_JS = 200, 50
-#: Rejected beyond these distances.
-MAX_CLASS_JS, MAX_WORD_JS = 0.28, 0.45
+#: Rejected beyond these distances. A text with none of its language's common words lies at 0.353 to 0.367, whatever its length,
+#: where they hold 23 to 24 % of the words. The word cut is the least hundredth that rejects none of the 3242 documents
+#: that are labelled good in sf0.1 and pass the other rules (the farthest lies at 0.309).
+MAX_CLASS_JS, MAX_WORD_JS = 0.28, 0.31
 
 
 def _tail(text: Column) -> Column:

@@ -67,6 +67,23 @@ def test_quality(spark, docs):
     assert set(quality.keep_good(docs).columns) == set(docs.columns)
 
 
+def test_quality_common_words(spark, real):
+    """Long texts without a common word go by the word rule alone; good prose of each language stays."""
+    good = spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").select("doc_id")
+    prose = real.join(good, "doc_id", "left_semi").select("doc_id", "text", "lang")
+    bare = []
+    for k, lang in enumerate(sorted(quality.COMMON_WORDS)):
+        words = [w for r in prose.where(F.col("lang") == lang).collect() for w in WORD.findall(r["text"]) if w.lower().rstrip(".,;:!?") not in quality.COMMON_WORDS[lang]]
+        assert len(words) > 300
+        bare += [(-1 - 2 * k, " ".join(words[:60]), lang), (-2 - 2 * k, " ".join(words[:3000]), lang)]
+    refs = quality.fit_references(quality.features(real).drop("text"))
+    got = {r["doc_id"]: r for r in quality.judge(quality.features(prose.unionByName(spark.createDataFrame(bare, prose.schema))), refs).collect()}
+    for k, _, _ in bare:
+        assert not got[k]["base_failed"] and not got[k]["kept"] and got[k]["class_js"] < quality.MAX_CLASS_JS
+    clean = [r for k, r in got.items() if k >= 0 and not r["base_failed"]]
+    assert {r["lang"] for r in clean} == set(quality.COMMON_WORDS) and all(r["kept"] for r in clean)
+
+
 def brute_components(rows):
     def shingles(t):
         w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
