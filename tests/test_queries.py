@@ -1,5 +1,6 @@
 """Every registered query runs at the smallest scale; those with SQL agree with DuckDB there."""
 
+import hashlib
 import math
 
 import duckdb
@@ -39,3 +40,21 @@ def test_query(spark, duck, sf, name):
     want = duck.execute(registry.ORACLE_SQL[name]).fetchdf()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
+
+
+def test_embeds_whole_texts_of_all(spark, sf):
+    """Every document has its own vector or reason, made of its whole text, unless the run before it already had it."""
+    docs = {str(r["doc_id"]): r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r["id"]: r for r in registry.QUERIES["k8_embed_vectors"](spark, sf).collect()}
+    assert set(got) == {k for k, r in docs.items() if r["lang"] in ("de", "fr") or r["source"] == "src5" or not r["text"].strip(" ")}
+    seen = set()
+    for k, row in got.items():
+        text = docs[k]["text"]
+        title = text.split("\n")[0]
+        whole = "\n".join(x for x in (title, f"alpha: {title[:20]}" if int(k) % 3 == 0 else "", text) if x.strip(" "))
+        digest = hashlib.md5(whole.encode()).hexdigest()
+        vector = hashlib.md5(f"{len(whole)},{int(digest[:5], 16)},{int(digest[5:10], 16)}".encode()).hexdigest()
+        bad = "(19" in whole or "%%%" in whole
+        assert (row["reason"], row["vector"]) == (("ValueError: refused", None) if bad else ("ok", vector) if whole.strip(" ") else ("empty_text", None))
+        seen.add(row["reason"])
+    assert {int(k) % 3 for k in got} == {0, 1, 2} and "ok" in seen
