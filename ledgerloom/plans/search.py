@@ -101,15 +101,29 @@ def k6_backfill(spark: SparkSession, d: str) -> DataFrame:
     return se.backfilled(hits, scope, members, 8).withColumn("place", F.col("place").cast("long"))
 
 
+def lines_of(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of a document are the rows of its one resource."""
+    return t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("resource_id"), F.posexplode(F.split("text", "\n")).alias("row_no", "text"))
+
+
 @query(
     f"""WITH {HYBRID_SQL.replace('{top}', '5')}, r AS (SELECT query_id, rank, doc_id, pos, line FROM hyb JOIN (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) ON doc_id = id WHERE rank <= 3 AND pos <= 20),
         u AS (SELECT *, sum(length(line) + 1) OVER w AS used, row_number() OVER w AS no FROM r WINDOW w AS (PARTITION BY query_id ORDER BY rank, doc_id, pos))
         SELECT query_id, md5(string_agg(line, chr(10) ORDER BY no)) AS pack FROM u WHERE used <= 3000 OR no = 1 GROUP BY 1"""
 )
 def k7_grounding(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of a document are the rows of its one resource."""
-    lines = t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("resource_id"), F.posexplode(F.split("text", "\n")).alias("row_no", "text"))
-    return se.grounding_pack(hybrid(spark, d, 5), lines, 3, 20, 3000).select("query_id", F.md5("pack").alias("pack"))
+    """The packs under small limits."""
+    return se.grounding_pack(hybrid(spark, d, 5), lines_of(spark, d), 3, 20, 3000).select("query_id", F.md5("pack").alias("pack"))
+
+
+@query(
+    f"""WITH {HYBRID_SQL.replace('{top}', '5')}, r AS (SELECT query_id, rank, doc_id, pos, line FROM hyb JOIN (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) ON doc_id = id WHERE rank <= 3 AND pos <= 1000),
+        u AS (SELECT *, sum(length(line) + 1) OVER w AS used, row_number() OVER w AS no FROM r WINDOW w AS (PARTITION BY query_id ORDER BY rank, doc_id, pos))
+        SELECT query_id, md5(string_agg(line, chr(10) ORDER BY no)) AS pack FROM u WHERE used <= 90000 OR no = 1 GROUP BY 1"""
+)
+def k7_grounding_pack(spark: SparkSession, d: str) -> DataFrame:
+    """The packs under the operator's own limits: 3 hits, 1000 rows a resource, 90,000 characters."""
+    return se.grounding_pack(hybrid(spark, d, 5), lines_of(spark, d)).select("query_id", F.md5("pack").alias("pack"))
 
 
 def _embed(texts: list[str]) -> list[list[float]]:

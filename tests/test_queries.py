@@ -6,7 +6,7 @@ import math
 import duckdb
 import pytest
 
-from ledgerloom.plans import registry
+from ledgerloom.plans import registry, search
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -58,3 +58,23 @@ def test_embeds_whole_texts_of_all(spark, sf):
         assert (row["reason"], row["vector"]) == (("ValueError: refused", None) if bad else ("ok", vector) if whole.strip(" ") else ("empty_text", None))
         seen.add(row["reason"])
     assert {int(k) % 3 for k in got} == {0, 1, 2} and "ok" in seen
+
+
+def test_grounding_packs_are_whole(spark, sf):
+    """Packs hold all lines of their hits up to 1000 a resource and 90,000 characters in all, far beyond 20 lines and 3000 characters."""
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    hits = search.hybrid(spark, sf, 5).where("rank <= 3").collect()
+    got = {r["query_id"]: r["pack"] for r in registry.QUERIES["k7_grounding_pack"](spark, sf).collect()}
+    longest = most = 0
+    for q in {r["query_id"] for r in hits}:
+        pack, used = [], 0
+        for r in sorted((r for r in hits if r["query_id"] == q and r["id"] in texts), key=lambda r: r["rank"]):
+            lines = texts[r["id"]].split("\n")[:1000]
+            most = max(most, len(lines))
+            for line in lines:
+                used += len(line) + 1
+                if used <= 90_000 or not pack:
+                    pack.append(line)
+        longest = max(longest, used)
+        assert got.pop(q, None) == (hashlib.md5("\n".join(pack).encode()).hexdigest() if pack else None)
+    assert not got and longest > 3000 and most > 20
