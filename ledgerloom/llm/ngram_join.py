@@ -382,10 +382,20 @@ def _across_groups(docs: DataFrame, sets: DataFrame, posted: DataFrame, labels:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id, with the columns of ``docs``.
+    """One row of each component, that with the smallest doc_id, with the columns of ``docs``.
 
-    Rows that share a doc_id stay or go together; rows without a doc_id stay.
+    Of rows that share that doc_id the first is taken, and a row without a doc_id only where no row has one.
+    Then rows are told apart by a number, which is stored with them; a table of distinct ids needs no such copy.
     """
-    found = stored(components(docs), "components")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__d")).distinct()
-    return docs.join(broadcast_if_small(gone, MAX_BROADCAST), F.col("doc_id") == F.col("__d"), "left_anti")
+    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
+    if repeated.isEmpty():
+        found = stored(components(docs), "components")
+        gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__d"))
+        return docs.join(broadcast_if_small(gone, MAX_BROADCAST), F.col("doc_id") == F.col("__d"), "left_anti")
+    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = components(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "component_id")
+    found = stored(rows.select("__row", "doc_id").join(found, "__row"), "components")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__row")
+    first = found.groupBy("component_id").agg(F.min(order).alias("x")).select(F.col("x.__row").alias("__row"))
+    gone = stored(found.select("__row").join(first, "__row", "left_anti"), "gone")
+    return rows.join(broadcast_if_small(gone, MAX_BROADCAST), "__row", "left_anti").select(*docs.columns)

@@ -129,6 +129,17 @@ def test_ngram_join_keeps_one(spark, docs):
     assert sorted(map(tuple, ngram_join.components(no_ids).select("n_shingles", "component_id").collect())) == [(2, 4)] * 3
 
 
+def test_ngram_join_keeps_one_row(spark):
+    """One row of a group stays, also where rows share its smallest doc_id or have none."""
+    t, u, v = ("a b c d e f", "g h i j k l", "m n o p q r")
+    rows = [(5, t, 0), (3, t, 1), (3, t, 2), (None, t, 3), (None, u, 4), (None, u, 5), (3, v, 6), (8, "", 7), (8, " ", 8), (None, None, 9)]
+    kept = ngram_join.keep_first(spark.createDataFrame(rows, "doc_id long, text string, extra int").repartition(3))
+    assert kept.columns == ["doc_id", "text", "extra"]
+    assert sorted(map(repr, kept.select("doc_id", "text").collect())) == sorted(
+        map(repr, spark.createDataFrame([(3, t), (None, u), (3, v), (8, ""), (8, " "), (None, None)], "doc_id long, text string").collect())
+    )
+
+
 def test_blocks_find_what_pivots_miss(spark):
     """Links that no pivot shows: the matrix finds them."""
     rows = [(i, " ".join(f"g{(i * 3 + k) % 90}" for k in range(60))) for i in range(40)]
