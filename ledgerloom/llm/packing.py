@@ -8,13 +8,14 @@ Ranges are fixed by quantiles of (key, tie hash), so a third of all documents wi
 over many ranges. Only one row per range (its number of tokens) is summed up to find where it starts.
 
 Defined results: a null or empty text is its end token alone; repeated rows are packed as often as they
-occur; an empty table gives no pieces; texts are tokenized whole, and special-token strings in them are
-ordinary text.
+occur; an empty table gives no pieces; texts are tokenized whole. Special-token strings in them have the ids of
+the tokenizer's added tokens in the query and the pipeline (``added``), and are ordinary text otherwise.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -67,18 +68,24 @@ class Tokenizer:
     the ids of each chunk kept. A text with a run of white space that the cuts would split is encoded whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            vocab: dict[str, int] = json.load(f)["model"]["vocab"]
+            file = json.load(f)
+        vocab: dict[str, int] = file["model"]["vocab"]
+        found = file.get("added_tokens") or [] if added else []
+        if any(a["lstrip"] or a["rstrip"] or a["single_word"] or not a["content"] for a in found):
+            raise ValueError("added tokens that strip or need whole words aren't supported")
+        self.added = {a["content"]: a["id"] for a in found}
+        self.cut = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))))
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {chr(b): b for b in shown}
         byte_of |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
         ranks = {bytes(byte_of[c] for c in t): i for t, i in vocab.items() if all(c in byte_of for c in t)}
         ranks = {t: i for t, i in ranks.items() if i != vocab.get("<|endoftext|>")}
-        self.kind = "<u2" if max(ranks.values()) < 65536 else "<u4"
-        self.size = max(vocab.values()) + 1
+        self.kind = "<u2" if max([*ranks.values(), *self.added.values()]) < 65536 else "<u4"
+        self.size = max([*vocab.values(), *self.added.values()]) + 1
         self.encoder = tiktoken.Encoding("bpe", pat_str=GPT_PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.known: dict[str, bytes | None] = {}
 
@@ -86,6 +93,16 @@ class Tokenizer:
         return np.array(self.encoder.encode_ordinary(text), self.kind).tobytes()
 
     def encode(self, text: str) -> bytes:
+        """Ids of a whole text; what stands between added tokens is encoded by itself."""
+        if not any(x in text for x in self.added):
+            return self._plain(text)
+        out, at = [], 0
+        for m in self.cut.finditer(text):
+            out += [self._plain(text[at : m.start()]), np.array([self.added[m[0]]], self.kind).tobytes()]
+            at = m.end()
+        return b"".join([*out, self._plain(text[at:])])
+
+    def _plain(self, text: str) -> bytes:
         first, *rest = text.split(" ")
         parts = [first, *[" " + x for x in rest]] if rest else [first]
         known = self.known
@@ -112,11 +129,11 @@ def vector(ids: np.ndarray, bins: np.ndarray, plane: np.ndarray) -> np.ndarray:
     return np.clip((np.tanh(at) + 1) / 2 * (1 << BITS), 0, (1 << BITS) - 1)
 
 
-def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+def encode(docs: DataFrame, tokenizer_path: str, added: bool = False) -> DataFrame:
     """(row_id, doc_id, n, curve, ids) of every row, written once: ids of the whole text and the end id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, rng = Tokenizer(tokenizer_path), np.random.default_rng(20240229)
+        tok, rng = Tokenizer(tokenizer_path, added), np.random.default_rng(20240229)
         bins, plane = rng.integers(0, BINS, tok.size), rng.normal(size=(BINS, DIMS))
         plane -= plane.mean(axis=0)  # else all texts share their common part's coordinate
         end = np.array([END_ID], tok.kind).tobytes()
@@ -138,9 +155,12 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     return stored(rows.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "n", curve.alias("curve"), "ids", "kind"), "pack-ids")
 
 
-def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset): every document's pieces in their sequences."""
-    rows = encode(docs, tokenizer_path)
+def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, added: bool = False) -> DataFrame:
+    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset): every document's pieces in their sequences.
+
+    With ``added`` the file's added tokens, where a text spells them, have their own ids, as ``tokenizers`` gives them.
+    """
+    rows = encode(docs, tokenizer_path, added)
     spark = rows.sparkSession
     total = rows.count()
     n_ranges = min(MAX_RANGES, max(1, total // RANGE_DOCS))

@@ -328,6 +328,27 @@ def test_packing(spark, docs, real):
     assert packing.pack(docs.limit(0), queries.tokenizer_path()).count() == 0
 
 
+def test_packing_of_added_tokens(spark, tmp_path):
+    """The query and the pipeline give the ids of ``tokenizers`` with its default settings, in texts that spell an added token too."""
+    from tokenizers import Tokenizer
+
+    tok, end = Tokenizer.from_file(queries.tokenizer_path()), "<|endoftext|>"
+    texts = [*TEXTS, end, end * 2, f"a{end}b", f"a {end} b", f" {end}\n\n x ", f"a  {end}  b c", f"<|end{end}oftext|>", "<|ENDOFTEXT|>", f"ü{end}don't"]
+    own = packing.Tokenizer(queries.tokenizer_path(), added=True)
+    for t in texts:
+        assert np.frombuffer(own.encode(t or ""), own.kind).tolist() == tok.encode(t or "", add_special_tokens=False).ids
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = {i: [*tok.encode(t or "", add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
+    for pieces in (queries.op1_curve_packing(spark, str(tmp_path)), corpus_pipeline.packing_stage(spark, docs, "")):
+        sums = dict.fromkeys(want, 0)
+        for r in pieces.collect():
+            ids = np.array(want[r["doc_id"]], "<u4")
+            assert r["doc_tokens"] == len(ids) and r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes())
+            sums[r["doc_id"]] += r["length"]
+        assert sums == {i: len(x) for i, x in want.items()}
+
+
 def test_components_of_long_paths(spark):
     path = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     star = spark.range(200).select(F.lit(1000).cast("long").alias("a"), (F.col("id") + 1001).alias("b"))
