@@ -1,4 +1,4 @@
 """Operators of a training-data pipeline: packing, filters, near-duplicates, mixing, scans.
 
-Nothing else in the library imports this package; it stands on PySpark alone.
+Nothing else in the library imports this package. Beside PySpark it needs numpy, pandas, pyarrow, xxhash and tiktoken.
 """

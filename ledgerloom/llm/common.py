@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
-from collections.abc import Callable
+import weakref
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,32 +51,64 @@ def starts(lengths: Column, block: int = 256) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see, as the cluster names it; a temporary one only where none is set (tests)."""
+    """The folder all executors see, as the cluster names it.
+
+    A session that names none gets a temporary folder if it runs on one machine (tests), and an error on a cluster.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = jvm_dir.get() if jvm_dir.isDefined() else None
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="ledgerloom-")
         spark.sparkContext.setCheckpointDir(path)
     return path
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+@contextlib.contextmanager
+def arrow_batches(spark: SparkSession, rows: int | None) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows while jobs run inside; the session's own setting comes back after."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if rows:
+        spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def stored(df: DataFrame, label: str, batch_rows: int | None = None) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back.
 
     Unlike a cached or local copy the table outlives a lost executor, and later readers take only
-    the columns they name.
+    the columns they name. ``batch_rows`` bounds an Arrow batch of the Python functions in ``df``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with arrow_batches(spark, batch_rows):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
 
+def discard(*tables: DataFrame) -> None:
+    """Delete stored() tables that nothing reads any more."""
+    for df in tables:
+        if path := _paths.pop(df, None):
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound what one Arrow batch holds, since single texts can be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+#: Rows of an Arrow batch of whole texts, since single ones can be very long.
+TEXT_BATCH = 512
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
@@ -90,9 +124,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     a stored table ends every round, so lineage stays short and a lost executor costs one round at most.
     Nodes without an edge aren't listed.
     """
-    cur = stored(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "cc"
-    )
+    cur = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "cc")
     if cur.isEmpty():
         return cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(max_rounds):
@@ -112,6 +144,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         )
         new = stored(small, "cc")
         changed = new.exceptAll(cur).limit(1).count() + cur.exceptAll(new).limit(1).count()
+        discard(cur)
         cur = new
         if not changed:
             break

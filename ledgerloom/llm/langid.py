@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import TEXT_BATCH, arrow_batches, stored
 
 PROFILE = 300
 UNKNOWN = "und"
-#: Codes gathered per language before they are counted and sent on.
+#: Codes that a task gathers, over all languages, before they are counted and sent on.
 FLUSH = 2_000_000
 _LETTER: np.ndarray | None = None
 
@@ -60,31 +60,30 @@ def learn(docs: DataFrame, top: int = PROFILE) -> dict[str, np.ndarray]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[np.ndarray]] = {}
-        size: dict[str, int] = {}
+        size = 0
 
         def flush(lang: str) -> pa.RecordBatch:
             got, n = np.unique(np.concatenate(held.pop(lang)), return_counts=True)
-            size.pop(lang)
             return pa.RecordBatch.from_arrays([pa.array([lang] * len(got)), pa.array(got), pa.array(n)], ["lang", "gram", "n"])
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 codes = ngrams(text)
                 held.setdefault(lang, []).append(codes)
-                size[lang] = size.get(lang, 0) + len(codes)
-                if size[lang] >= FLUSH:
-                    yield flush(lang)
-        for lang in list(held):
-            yield flush(lang)
+                size += len(codes)
+                if size >= FLUSH:
+                    yield from map(flush, list(held))
+                    size = 0
+        yield from map(flush, list(held))
 
-    small_batches(docs.sparkSession)
     rows = docs.where("lang is not null and text is not null").select("lang", "text").mapInArrow(count, "lang string, gram long, n long")
     sums = rows.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     best = sums.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     out: dict[str, list[int]] = {}
-    for r in best.orderBy("lang", "rank").collect():  # top rows a language, whatever the input's size
-        out.setdefault(r["lang"], []).append(r["gram"])
+    with arrow_batches(docs.sparkSession, TEXT_BATCH):
+        for r in best.orderBy("lang", "rank").collect():  # top rows a language, whatever the input's size
+            out.setdefault(r["lang"], []).append(r["gram"])
     return {k: np.array(v, np.int64) for k, v in out.items()}
 
 
@@ -116,8 +115,8 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], top: int = PROFILE
                 ["doc_id", "lang_pred", "score"],
             )
 
-    small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    return stored(out, "languages", TEXT_BATCH)
 
 
 def held_out(doc_id: Column) -> Column:

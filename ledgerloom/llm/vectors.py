@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, small_batches, stored
+from .common import connected_components, stored
 
 COSINE = 0.93
 TABLES, PROJECTIONS, WIDTH = 18, 6, 1.5
-BLOCK = 512
+BLOCK, VECTOR_BATCH = 512, 4096
 SEED = 7
 
 
@@ -60,9 +60,9 @@ def _parts(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def _compare(table: int, ids: np.ndarray, x: np.ndarray, cnt: np.ndarray, b: np.ndarray, side: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """New links among one group's vectors: positions, weights of partners, and edges. side: 0 or 1 of two blocks; one block if all 0."""
-    two = bool((side == 1).any())
-    left = np.flatnonzero(side == 0)
+    """New links among one group's vectors: positions, weights of partners, and edges. side: 0 or 1 of two blocks, or 2 of a block met with itself."""
+    two = bool((side < 2).any())
+    left = np.flatnonzero(side == 0 if two else side == 2)
     right = np.flatnonzero(side == 1) if two else left
     add, ii, jj = np.zeros(len(ids), np.int64), [], []
     for at in range(0, len(left), 128):
@@ -78,7 +78,7 @@ def _compare(table: int, ids: np.ndarray, x: np.ndarray, cnt: np.ndarray, b: np.
         np.add.at(add, j, cnt[i])
         ii.append(i)
         jj.append(j)
-    i, j = np.concatenate(ii), np.concatenate(jj)
+    i, j = (np.concatenate([np.empty(0, np.int64), *x]) for x in (ii, jj))
     some = np.flatnonzero(add)
     low = _parts(len(ids), i, j)
     return ids[some], add[some], ids[some], ids[low[some]]
@@ -86,8 +86,6 @@ def _compare(table: int, ids: np.ndarray, x: np.ndarray, cnt: np.ndarray, b: np.
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(vec_id, n_links, component_id, kept), a row per row of ``vectors`` (vec_id, embedding, label)."""
-    spark = vectors.sparkSession
-    small_batches(spark, 4096)
     rows = vectors.select("vec_id", "embedding", "label", usable().alias("ok"))
     same = [F.xxhash64("embedding").alias("h1"), F.hash("embedding").alias("h2"), F.col("label").cast("string").alias("lab")]
     rows = stored(rows.select("vec_id", "ok", *same, F.when(F.col("ok"), F.col("embedding").cast("array<double>")).alias("e")), "vec")
@@ -103,7 +101,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
                 part = part.assign(x=[v.tobytes() for v in x], b=list(buckets(x)))
                 yield pa.RecordBatch.from_pandas(part[["h1", "h2", "lab", "rid", "cnt", "x", "b"]], preserve_index=False)
 
-    reps = stored(reps.mapInArrow(hashed, "h1 long, h2 int, lab string, rid long, cnt long, x binary, b array<long>"), "vec-reps")
+    reps = stored(reps.mapInArrow(hashed, "h1 long, h2 int, lab string, rid long, cnt long, x binary, b array<long>"), "vec-reps", VECTOR_BATCH)
     keys = reps.select("rid", F.posexplode("b").alias("t", "bucket"), F.xxhash64("lab", F.length("x")).alias("own"))
     keys = keys.select("rid", "t", F.xxhash64("own", "t", "bucket").alias("key"))
     sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("key", "k")
@@ -112,7 +110,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     met = met.withColumn("nb", n_blocks).withColumn("block", F.pmod(F.xxhash64("rid"), "nb").cast("int"))
     # a vector of block k meets every block: as the first of a pair where k is smaller, else as the second
     pairs = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    pairs = pairs.select("rid", "t", "key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+    pairs = pairs.select("rid", "t", "key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), F.when(F.col("block") == F.col("other"), 2).otherwise((F.col("block") > F.col("other")).cast("int")).alias("side"))
     full = pairs.withColumnRenamed("rid", "r").join(reps.select("rid", "cnt", "x", "b"), F.col("r") == F.col("rid")).drop("r")
     full = full.select("key", "p", "q", "t", "side", "rid", "cnt", "x", "b")
     full = full.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
@@ -145,7 +143,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         if (out := done(held)) is not None:
             yield out
 
-    found = stored(full.mapInArrow(links, "rid long, add long, low long"), "vec-links")
+    found = stored(full.mapInArrow(links, "rid long, add long, low long"), "vec-links", VECTOR_BATCH)
     counts = found.groupBy("rid").agg(F.sum("add").alias("links"))
     parts = connected_components(found.select(F.col("rid").alias("a"), F.col("low").alias("b")))
     one = reps.select("h1", "h2", "lab", "rid", "cnt").join(counts, "rid", "left").join(parts.withColumnRenamed("node", "rid"), "rid", "left")

@@ -7,11 +7,12 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerloom.llm import chat, common, langid, licenses, mixing, ngram_join, oracles, packing, quality, queries, secrets, urls, vectors
+from ledgerloom.llm import chat, common, langid, licenses, mixing, ngram_join, oracles, packing, quality, queries, secrets, shingles, urls, vectors
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -140,6 +141,40 @@ def test_ngram_join_keeps_one_row(spark):
     )
 
 
+def test_ngram_join_of_hot_shingles_and_small_blocks(spark, monkeypatch):
+    """Hot tokens dealt over several tasks, blocks of three and stretches of two lose no link; marks never rule out a link."""
+    rng = np.random.default_rng(11)
+    texts = []
+    for g in range(4):
+        base = [f"w{g}-{i}" for i in rng.integers(0, 4000, 90)]
+        for k in range(30):
+            t = list(base)
+            for at in rng.choice(90, k // 4, replace=False):
+                t[at] = f"x{rng.integers(10**9)}"
+            texts.append(" ".join(t[: 90 - k % 5]))
+    rows = list(enumerate(texts))
+    want = brute_components(rows)
+    for name, value in (("HOT_LOG2", 3), ("BLOCK", 3), ("STRETCH", 2), ("PARTNERS", 1)):
+        monkeypatch.setattr(ngram_join, name, value)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and len({c for _, c in want.values()}) > 4
+    sets = list(shingles.shingle_sets([t.encode() for t in texts]))
+    marks = list(ngram_join._marks(pa.array([ngram_join.mark_of(s) for s in sets])))
+    close = [(i, j) for i in range(len(sets)) for j in range(i) if ngram_join.are_linked(sets[i], sets[j])]
+    assert close and all(ngram_join.may_link(marks[i], marks[j]) for i, j in close)
+
+
+def test_shingles(monkeypatch):
+    """Words across chunk borders, long words, blanks of all kinds, other scripts: as many distinct shingles as plain code finds."""
+    texts = [*TEXTS, "a" * 500 + " b c", "x " * 300 + "y" * 200, "\x0b\x0c a b c d e f g h" * 30, "İ ı K Å"]
+    sizes = [n for n, _ in brute_components(list(enumerate(texts))).values()]
+    whole = [s.tolist() for s in shingles.shingle_sets([None if t is None else t.encode() for t in texts])]
+    monkeypatch.setattr(shingles, "CHUNK", 64)
+    monkeypatch.setattr(shingles, "PART", 100)
+    assert whole == [s.tolist() for s in shingles.shingle_sets([None if t is None else t.encode() for t in texts])]
+    assert [len(s) for s in whole] == sizes
+
+
 def test_blocks_find_what_pivots_miss(spark):
     """Links that no pivot shows: the matrix finds them."""
     rows = [(i, " ".join(f"g{(i * 3 + k) % 90}" for k in range(60))) for i in range(40)]
@@ -299,7 +334,6 @@ def check_packing(spark, docs):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(queries.tokenizer_path())
-    tok.encode_special_tokens = True
     pieces = packing.pack(docs, queries.tokenizer_path()).toPandas()
     want = collections.Counter()
     texts = collections.defaultdict(list)
@@ -334,9 +368,9 @@ def test_packing_of_added_tokens(spark, tmp_path):
 
     tok, end = Tokenizer.from_file(queries.tokenizer_path()), "<|endoftext|>"
     texts = [*TEXTS, end, end * 2, f"a{end}b", f"a {end} b", f" {end}\n\n x ", f"a  {end}  b c", f"<|end{end}oftext|>", "<|ENDOFTEXT|>", f"ü{end}don't"]
-    own = packing.Tokenizer(queries.tokenizer_path(), added=True)
-    for t in texts:
-        assert np.frombuffer(own.encode(t or ""), own.kind).tolist() == tok.encode(t or "", add_special_tokens=False).ids
+    own = packing.Tokenizer(queries.tokenizer_path())
+    for t, ids in zip(texts, own.encode_all(pa.array(texts, pa.string())), strict=True):
+        assert ids.tolist() == tok.encode(t or "", add_special_tokens=False).ids
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     want = {i: [*tok.encode(t or "", add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
