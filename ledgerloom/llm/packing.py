@@ -35,7 +35,7 @@ BINS, DIMS, BITS = 256, 3, 10
 #: Documents a range holds on average, and most ranges (beyond, they hold more).
 RANGE_DOCS, MAX_RANGES = 4096, 100_000
 #: Rows of a batch of texts: the more, the more chunks are alike. Batches are bounded by bytes as well.
-TEXTS = 2048
+TEXTS = 512
 #: The split of byte-level BPE, with possessive repeats; and what it comes to in texts without two blanks in a row.
 GPT_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 PLAIN_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s"""

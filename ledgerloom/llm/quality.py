@@ -231,7 +231,8 @@ def scores(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass, with the columns of ``docs``.
 
-    Texts are scanned twice, for the references and for the verdict, and never shuffled.
+    Texts are scanned twice, for the references and for the verdict, and never shuffled. Columns of any name come
+    back as they were, since the rules see text and lang only.
     """
-    rows = features(docs)
-    return judge(rows, fit_references(rows.drop("text"))).where("kept").select(*docs.columns)
+    rows = features(docs.select(F.struct(*docs.columns).alias("__doc"), "text", "lang"))
+    return judge(rows, fit_references(rows.drop("__doc", "text"))).where("kept").select("__doc.*")
