@@ -222,3 +222,15 @@ def latest_by(rows: DataFrame, key: Sequence[str], order: Sequence[Column]) -> D
     """The last-written row of each key."""
     window = Window.partitionBy(*key).orderBy(*order)
     return rows.withColumn("__r", F.row_number().over(window)).where("__r = 1").drop("__r")
+
+
+def rebuild(documents: DataFrame, model_id: str) -> tuple[DataFrame, DataFrame]:
+    """(actions, ledger) of a full rebuild: an index run that knows nothing of earlier ones.
+
+    Its ledger equals that of any sequence of incremental runs that ends with the same documents, for all that
+    have a text; a document whose text became blank keeps its last ledger row only in the increments.
+    """
+    none = documents.where("1 = 0")
+    ledger = none.select("id", "content_fp", "embed_fp", F.lit(model_id).alias("model_id"))
+    actions = index_actions(documents, ledger, none.select("id"), none.select("id"), model_id)
+    return actions, next_ledger(actions, ledger, none.select("id"), model_id)

@@ -16,10 +16,7 @@ def headers(cells: DataFrame) -> DataFrame:
 
 def long_cells(cells: DataFrame) -> DataFrame:
     """(resource_id, sheet, row_no, col_no, value) of the data rows; cells beyond the header are dropped."""
-    width = cells.where("row_no = 0").select(F.col("resource_id").alias("r"), F.col("sheet").alias("s"), F.size("cells").alias("width"))
-    rows = cells.where("row_no > 0").select("resource_id", "sheet", "row_no", F.posexplode("cells").alias("col_no", "value"))
-    same = (F.col("resource_id") == F.col("r")) & F.col("sheet").eqNullSafe(F.col("s"))
-    return rows.join(width, same).where("col_no < width").select("resource_id", "sheet", "row_no", "col_no", "value")
+    return cells.where("row_no > 0").select("resource_id", "sheet", "row_no", F.posexplode(F.slice("cells", F.lit(1), F.col("width"))).alias("col_no", "value"))
 
 
 def infer_types(values: DataFrame, keys: list[str], value: str = "value") -> DataFrame:

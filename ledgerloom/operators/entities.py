@@ -5,12 +5,16 @@ An extractor is a function from dataset texts to (dataset_id, entity_id, kind, l
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as tx
+from ..functions.tables import stored
 
 COLUMNS = ["dataset_id", "entity_id", "kind", "label", "extractor", "confidence"]
 #: Subjects, the words that show them, and how sure they make it.
@@ -25,7 +29,7 @@ SUBJECTS = [
 #: How sure a shared entity of each kind makes a link, and its name.
 LINK_KINDS = {"organization": ("shared_publisher", 0.95), "geographic_unit": ("shared_geo", 0.9), "time_period": ("shared_time", 0.7), "named_subject": ("shared_subject", 0.6), "tag": ("shared_tag", 0.5), "group": ("shared_group", 0.7)}
 MAX_FANOUT = 50
-PATTERN_BLOCK = 5000
+PATTERN_BLOCK = 200_000
 
 
 def _found(rows: DataFrame, entity: Column, kind: str, label: Column, extractor: str, confidence: Column | float) -> DataFrame:
@@ -49,18 +53,55 @@ def place_matches(texts: DataFrame, gazetteer: DataFrame, key: str = "dataset_id
     """(key, place_id, label, match_type): places whose name or alias a text holds, lower-cased, no word ends asked.
 
     Of a place's patterns in a text the longest decides the match type. gazetteer: (ord, place_id, label,
-    pattern, match_type), a published list of some hundred patterns. Patterns are broadcast in blocks of about
-    PATTERN_BLOCK; each block reads the texts once.
+    pattern, match_type), a published list. Its patterns become one automaton that runs over each text once,
+    whatever their number; a list beyond PATTERN_BLOCK patterns is taken in blocks of about that many.
     """
-    low = texts.select(key, F.lower("text").alias("low"))
-    n_blocks = -(-gazetteer.count() // PATTERN_BLOCK) or 1
-    blocks = gazetteer.withColumn("pattern", F.lower("pattern")).withColumn("__b", F.pmod(F.xxhash64("pattern", "ord"), F.lit(n_blocks)))
-    found = [low.join(F.broadcast(blocks.where(F.col("__b") == b)), F.contains(F.col("low"), F.col("pattern"))).drop("low", "__b") for b in range(n_blocks)]
-    hits = reduce(DataFrame.unionByName, found)
-    best = F.min_by(F.struct("label", "match_type"), F.struct(-F.length("pattern"), F.col("ord")))
+    low = texts.select(key, F.lower("text").alias("low")).where("low is not null")
+    patterns = gazetteer.where("pattern is not null").select("ord", "place_id", "label", F.lower("pattern").alias("pattern"), "match_type")
+    n_blocks = -(-patterns.count() // PATTERN_BLOCK) or 1
+    blocks = patterns.withColumn("__b", F.pmod(F.xxhash64("pattern"), F.lit(n_blocks)))
+    hits = reduce(DataFrame.unionByName, [_scanned(low, blocks.where(F.col("__b") == b).drop("__b"), key) for b in range(n_blocks)])
+    best = F.min_by(F.struct("label", "match_type"), F.struct(-F.col("size"), F.col("ord")))
     return hits.groupBy(key, "place_id").agg(best.alias("m")).select(key, "place_id", "m.label", "m.match_type")
 
 
+def _scanned(low: DataFrame, patterns: DataFrame, key: str) -> DataFrame:
+    """(key, place_id, label, match_type, size, ord): of each place that ``low`` (key, low) holds, its longest pattern there."""
+    spark = low.sparkSession
+    shared = spark.sparkContext.broadcast([tuple(r) for r in patterns.select("ord", "place_id", "label", "pattern", "match_type").collect()])  # PATTERN_BLOCK rows
+    kinds = {f.name: f.dataType for f in patterns.schema.fields} | {key: low.schema[key].dataType}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        rows, by_pattern, always = shared.value, {}, []
+        for i, row in enumerate(rows):
+            by_pattern.setdefault(row[3], []).append(i)
+        always = by_pattern.pop("", [])
+        finder = ahocorasick.Automaton()
+        for pattern, which in by_pattern.items():
+            finder.add_word(pattern, which)
+        finder.make_automaton()
+        for batch in batches:
+            at, found = [], []
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                met = {i for _, which in finder.iter(text) for i in which} if by_pattern else set()
+                best: dict = {}
+                for i in met.union(always):
+                    number, place, _, pattern, _ = rows[i]
+                    rank = (-len(pattern), number)
+                    if place not in best or rank < best[place][0]:
+                        best[place] = (rank, i)
+                at += [k] * len(best)
+                found += [i for _, i in best.values()]
+            cols = [pa.array([rows[i][c] for i in found], to_arrow_type(kinds[name])) for name, c in (("place_id", 1), ("label", 2), ("match_type", 4), ("ord", 0))]
+            size = pa.array([len(rows[i][3]) for i in found], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *cols[:3], size, cols[3]], [key, "place_id", "label", "match_type", "size", "ord"])
+
+    sql = lambda name: kinds[name].simpleString()
+    return low.mapInArrow(run, f"{key} {sql(key)}, place_id {sql('place_id')}, label {sql('label')}, match_type {sql('match_type')}, size int, ord {sql('ord')}")
+
+
 def places_in_texts(texts: DataFrame, gazetteer: DataFrame, canonical: float = 0.95, alias: float = 0.75) -> DataFrame:
     """texts: (dataset_id, text) of title, description, and resources' names and descriptions."""
     at = place_matches(texts, gazetteer)
@@ -102,12 +143,21 @@ def subjects(texts: DataFrame, keywords: list[tuple[str, list[str], float]] = SU
 
 def register(*found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All extractors' rows as dataset-entity edges, one per dataset, entity and extractor, and the entities they name."""
-    every = reduce(DataFrame.unionByName, found)
+    every = stored(reduce(DataFrame.unionByName, found), "found")  # extractors run once for both results
     edges = every.groupBy("dataset_id", "entity_id", "extractor").agg(F.max("confidence").alias("confidence"), F.min("kind").alias("kind"))
     entities = every.groupBy("entity_id").agg(F.min("kind").alias("kind"), F.min("label").alias("label"))
     return edges, entities
 
 
+def entities_only(*found: DataFrame, max_fanout: int = MAX_FANOUT) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(edges, entities, links, hubs) from extractors' rows: the re-run that reads metadata tables and neither parses nor translates.
+
+    Use it after a change of extractors or gazetteer; relations of places follow by part_of() on the entities.
+    """
+    edges, entities = register(*found)
+    return edges, entities, *link_datasets(edges, max_fanout)
+
+
 def link_datasets(edges: DataFrame, max_fanout: int = MAX_FANOUT) -> tuple[DataFrame, DataFrame]:
     """Pairs of datasets that share an entity, and the hubs that were left out.
 

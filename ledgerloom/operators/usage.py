@@ -112,11 +112,21 @@ def red_metrics(requests: DataFrame) -> DataFrame:
 
 
 def llm_totals(turns: DataFrame) -> DataFrame:
-    """Tokens by kind and cost over turns with price_in and price_out; outcomes of chats."""
+    """Tokens by kind and cost over turns with price_in and price_out."""
     cost = m.token_cost(F.col("input"), F.col("output"), F.col("cached"), F.col("price_in"), F.col("price_out"))
     return turns.agg(F.sum("input").alias("input"), F.sum("output").alias("output"), F.sum("cached").alias("cached"), F.sum(cost).alias("cost"))
 
 
+def chat_outcomes(turns: DataFrame) -> DataFrame:
+    """(outcome, turns) of chat turns (outcome); turns without one aren't counted."""
+    return turns.where("outcome is not null").groupBy("outcome").agg(F.count("*").alias("turns"))
+
+
+def rejections(requests: DataFrame) -> DataFrame:
+    """(route_class, rejections): requests refused by rate or quota, status 429. requests: (route_class, status)."""
+    return requests.where("status = 429").groupBy("route_class").agg(F.count("*").alias("rejections"))
+
+
 def mirror_health(datasets: DataFrame, now: Column) -> DataFrame:
     last = datasets.agg(F.max("last_synced_at").alias("last_synced_at"))
     return last.withColumn("stale", m.is_stale(F.col("last_synced_at"), now))
@@ -132,6 +142,7 @@ class Bucket:
         if self.rate <= 0:
             return True, 0
         if self.at is not None:
+            now = max(now, self.at)  # a request that comes late finds the bucket as it is
             self.tokens = min(self.rate, self.tokens + (now - self.at) * self.rate / 60)
         self.at = now
         if self.tokens >= 1:
@@ -165,15 +176,18 @@ def rate_limit(requests: DataFrame, rate: float) -> DataFrame:
 
 
 def limiter_state(rate: float):
-    """The same replay for a stream: a function for applyInPandasWithState with state (tokens double, at double)."""
+    """The same replay for a stream: a function for applyInPandasWithState with state (tokens double, at double).
+
+    A key's rows of one micro-batch may come in many frames, in any order, so they are put in order of time
+    first. A task holds the times and ids of one key's rows of one micro-batch, which the source's rate bounds.
+    """
 
     def run(key, frames, state):
         tokens, at = state.get if state.exists else (None, None)
         bucket = Bucket(rate, tokens, at)
-        for p in frames:
-            p = p.sort_values(["sec", "id"])
-            got = [bucket.take(x) for x in p["sec"]]
-            yield pd.DataFrame({"key": [key[0]] * len(p), "id": p["id"].to_numpy(), "ok": [g[0] for g in got], "retry_after": [g[1] for g in got]})
+        rows = pd.concat([p[["sec", "id"]] for p in frames], ignore_index=True).sort_values(["sec", "id"])
+        got = [bucket.take(x) for x in rows["sec"]]
+        yield pd.DataFrame({"key": [key[0]] * len(rows), "id": rows["id"].to_numpy(), "ok": [g[0] for g in got], "retry_after": [g[1] for g in got]})
         state.update((float(bucket.tokens), float(bucket.at if bucket.at is not None else 0.0)))
 
     return run

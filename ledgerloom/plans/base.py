@@ -5,13 +5,13 @@ Each view is defined twice, as a DataFrame and as a common table expression, wit
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import scratch, stored  # noqa: F401  the plans take them from here
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -33,12 +33,6 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder that all executors see: in the cluster's checkpoint folder, or a temporary one where none is set (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{root}/{label}-{uuid.uuid4().hex}"
-
-
 #: The moment that jobs take as now.
 NOW = "2026-02-01 00:00:00"
 

@@ -179,6 +179,14 @@ def i9_next_ledger(spark: SparkSession, d: str) -> DataFrame:
     return ch.next_ledger(actions, ledger, actions.where("1 = 0"), "m#32").select("id", "model_id")
 
 
+@query(
+    f"""WITH {OLD_SQL}, {NEW_SQL} SELECT id, sha256(concat_ws('|', title, publisher, tags)) AS content_fp, sha256(title) AS embed_fp, 'm#32' AS model_id FROM new WHERE length(title) % 7 <> 0"""
+)
+def i9_rebuild(spark: SparkSession, d: str) -> DataFrame:
+    """The ledger of a full rebuild; the tests hold it against a sequence of increments."""
+    return ch.rebuild(_index_tables(spark, d)[0], "m#32")[1]
+
+
 @query(f"""{ACTIONS_SQL} SELECT id, 'empty_text' AS reason FROM actions WHERE vector = 'empty_text' UNION ALL SELECT id, 'timeout' FROM old WHERE publisher = 'src6' AND id NOT IN (SELECT id FROM actions)""")
 def i10_failures(spark: SparkSession, d: str) -> DataFrame:
     docs, ledger, kw, vec = _index_tables(spark, d)

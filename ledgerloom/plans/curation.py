@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import curate
 from ..sources import files, portal, sinks
-from .base import datasets, query, scratch, t
+from .base import datasets, query, scratch, stored, t
 
 
 @query("SELECT id AS dataset_id, 'r' || id AS resource_id FROM datasets WHERE lifecycle = 'active' AND CAST(id AS BIGINT) % 3 > 0 AND CAST(id AS BIGINT) % 7 > 0 AND last_synced_at >= TIMESTAMP '2026-01-05'", "datasets")
@@ -44,6 +44,15 @@ def cp1251(text: Column) -> Column:
     return F.encode(F.translate(text, upper, lower), "iso-8859-1")
 
 
+@query(
+    """SELECT page_id, (['text', 'text', 'text', 'text', 'xlsx', 'csv', 'xml', 'text'])[page_id % 8 + 1] AS parser FROM pages"""
+)
+def a3_accepting_parser(spark: SparkSession, d: str) -> DataFrame:
+    """The parser that takes the file: by declared format, name or zip bytes, else text."""
+    f = _page_files(spark, d).withColumn("s", files.sniff(F.col("content"), F.col("name"), F.col("format"), F.col("type")))
+    return f.select("page_id", files.accepting_parser(F.col("s.kind"), F.col("content"), F.col("format"), F.col("name")).alias("parser"))
+
+
 @query("""SELECT c_custkey, 'Община ' || c_custkey || ' Ямбол' AS text, (['cp1251', 'utf-8', 'utf-8'])[c_custkey % 3 + 1] AS encoding, CAST(([0.8, 0.85, 1.0])[c_custkey % 3 + 1] AS DOUBLE) AS confidence FROM customer""")
 def a4_a10_decode(spark: SparkSession, d: str) -> DataFrame:
     text, k = F.concat(F.lit("Община "), F.col("c_custkey").cast("string"), F.lit(" Ямбол")), F.col("c_custkey") % 3
@@ -105,6 +114,27 @@ def a6_workbooks(spark: SparkSession, d: str) -> DataFrame:
     return cells.select("resource_id", "sheet", "row_no", F.array_join("cells", "|").alias("cells"))
 
 
+@query(
+    """SELECT CAST(l_orderkey AS VARCHAR) AS resource_id, sheet, slug, count(*) + 1 AS n_rows, 'name||7|true;' || string_agg(l_linenumber || '|' || l_returnflag, ';' ORDER BY l_linenumber, l_returnflag) AS cells
+       FROM lineitem, (VALUES ('Lines', 'lines'), ('LINES!', 'lines-1'), ('§', 'sheet')) x(sheet, slug) WHERE l_orderkey % 10 = 0 OR slug = 'lines' GROUP BY 1, 2, 3"""
+)
+def a6_order_workbooks(spark: SparkSession, d: str) -> DataFrame:
+    """A workbook an order; every tenth has three sheets of which two would have one path."""
+
+    def write(parts):
+        for p in parts:
+            data = []
+            for rid, rows in zip(p["resource_id"], p["rows"], strict=True):
+                cells = [[str(r["l_linenumber"]), r["l_returnflag"]] for r in rows]
+                data.append(_workbook([(name, cells) for name in (["Lines", "LINES!", "§"] if int(rid) % 10 == 0 else ["Lines"])]))
+            yield pd.DataFrame({"resource_id": p["resource_id"], "parser": "xlsx", "content": data})
+
+    by = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("resource_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_returnflag"))).alias("rows"))
+    cells = files.cells_of(by.mapInPandas(write, "resource_id string, parser string, content binary"))
+    ordered = F.array_sort(F.collect_list(F.struct("row_no", F.array_join("cells", "|").alias("c"))))
+    return cells.groupBy("resource_id", "sheet", "slug").agg(F.count("*").alias("n_rows"), F.array_join(F.transform(ordered, lambda x: x["c"]), ";").alias("cells"))
+
+
 @query("SELECT event_id AS resource_id, CASE WHEN event_id % 3 < 2 THEN (['object', 'array'])[event_id % 3 + 1] END AS root, CASE WHEN event_id % 3 = 2 THEN 'not JSON' END AS error FROM events")
 def a7_json(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("event_id") % 3
@@ -221,7 +251,7 @@ def e1_column_types(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {LINES_SQL} SELECT CAST(l_orderkey AS VARCHAR) AS resource_id, row_no, CAST(l_linenumber AS VARCHAR) AS number, strftime(l_shipdate, '%Y-%m-%d') AS day, CASE WHEN l_linenumber % 2 = 0 THEN 'true' ELSE 'false' END AS flag FROM ln""")
 def e2_typed_cells(spark: SparkSession, d: str) -> DataFrame:
-    cells = _cells(spark, d)
+    cells = stored(_cells(spark, d), "cells")
     typed = curate.apply_types(cells, curate.infer_types(cells, ["resource_id", "col_no"]), ["resource_id", "col_no"])
     value = lambda i: F.max(F.when(F.col("col_no") == i, F.col("typed")))
     return typed.groupBy("resource_id", "row_no").agg(value(0).alias("number"), value(1).alias("day"), value(4).alias("flag"))

@@ -97,19 +97,32 @@ def found(spark: SparkSession, d: str) -> list[DataFrame]:
     return [entities.publishers(ds, org), entities.listed(ds, "tags", "tag", 0.6), entities.places_in_texts(tt, gaz), entities.places_of_publishers(ds, org, gaz), entities.iso_dates(tt), entities.named_dates(tt), entities.subjects(tt)]
 
 
-@query(
-    f"""WITH {GAZETTEER_SQL}, org AS (SELECT DISTINCT source FROM documents) SELECT extractor, count(*) AS edges, count(DISTINCT entity_id) AS n_entities FROM (
+FOUND_SQL = f"""WITH {GAZETTEER_SQL}, org AS (SELECT DISTINCT source FROM documents), found AS (
         SELECT doc_id, 'org:' || source AS entity_id, 'publisher' AS extractor FROM documents
         UNION SELECT doc_id, 'tag:' || unnest([lang, 'size:' || least(n_chars // 1000, 9)]), 'tags' FROM documents
         UNION SELECT doc_id, place_id, 'gazetteer' FROM ({MATCH_SQL.format(key='doc_id', table='documents', text='text')})
-        UNION SELECT doc_id, place_id, 'gazetteer_publisher' FROM documents JOIN ({MATCH_SQL.format(key='source', table='org', text='source')}) USING (source)) GROUP BY 1"""
-)
+        UNION SELECT doc_id, place_id, 'gazetteer_publisher' FROM documents JOIN ({MATCH_SQL.format(key='source', table='org', text='source')}) USING (source))"""
+
+
+@query(f"{FOUND_SQL} SELECT extractor, count(*) AS edges, count(DISTINCT entity_id) AS n_entities FROM found GROUP BY 1")
 def h1_register(spark: SparkSession, d: str) -> DataFrame:
     """All extractors over the documents; the invented prose holds no dates or subjects."""
     edges, _ = entities.register(*found(spark, d))
     return edges.groupBy("extractor").agg(F.count("*").alias("edges"), F.count_distinct("entity_id").alias("n_entities"))
 
 
+@query(
+    f"""{FOUND_SQL}, fan AS (SELECT entity_id, count(DISTINCT doc_id) AS n FROM found GROUP BY 1)
+        SELECT 'edges' AS kind, count(*) AS n FROM (SELECT DISTINCT doc_id, entity_id, extractor FROM found) UNION ALL SELECT 'entities', count(*) FROM fan
+        UNION ALL SELECT 'links', CAST(coalesce(sum(n * (n - 1) / 2), 0) AS BIGINT) FROM fan WHERE n BETWEEN 2 AND 50 UNION ALL SELECT 'hubs', count(*) FROM fan WHERE n > 50"""
+)
+def i7_entities_only(spark: SparkSession, d: str) -> DataFrame:
+    """Entities, edges and links made anew from metadata alone."""
+    edges, known, links, hubs = entities.entities_only(*found(spark, d))
+    count = lambda kind, df: df.agg(F.lit(kind).alias("kind"), F.count("*").alias("n"))
+    return count("edges", edges).unionByName(count("entities", known)).unionByName(count("links", links)).unionByName(count("hubs", hubs))
+
+
 def order_edges(spark: SparkSession, d: str) -> DataFrame:
     """Orders share customers (few each) and nations (hubs)."""
     o = t(spark, d, "orders").join(t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))

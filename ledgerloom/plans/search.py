@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import measures as m
-from ..functions.joins import broadcast_if_small
 from ..operators import catalog, changes
 from ..operators import search as se
 from .base import NOW, datasets, query, t
@@ -33,8 +32,7 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def keyword(spark: SparkSession, d: str) -> DataFrame:
-    hits = se.keyword_search(queries(spark, d), documents(spark, d), ["title", "text"], 10_000)
-    return se.ranked(hits.select("query_id", "id", F.round("score", 9).alias("score")), 50)
+    return se.keyword_search(queries(spark, d), documents(spark, d), ["title", "text"], 50)
 
 
 @query(f"WITH {BM25_SQL} SELECT query_id, id, rank, round(score, 3) AS score FROM kw")
@@ -95,10 +93,9 @@ def k5_filtered(spark: SparkSession, d: str) -> DataFrame:
 )
 def k6_backfill(spark: SparkSession, d: str) -> DataFrame:
     hits = hybrid(spark, d, 100)
-    scope = t(spark, d, "documents").where("source = 'src3'").select(F.col("doc_id").alias("id"))
-    asked = broadcast_if_small(hits.select("query_id").distinct(), 100_000)  # the batch of searches
-    members = scope.join(asked, F.lit(True))
-    return se.backfilled(hits, scope, members, 8).withColumn("place", F.col("place").cast("long"))
+    scope = t(spark, d, "documents").where("source = 'src3'").select(F.col("doc_id").alias("id"), F.col("source").alias("region"))
+    asked = hits.select("query_id", F.lit("src3").alias("region")).distinct()
+    return se.backfilled(hits, scope, asked, 8).withColumn("place", F.col("place").cast("long"))
 
 
 def lines_of(spark: SparkSession, d: str) -> DataFrame:

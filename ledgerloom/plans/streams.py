@@ -29,8 +29,8 @@ def l1_curate_stream(spark: SparkSession, d: str) -> DataFrame:
 def l2_index_stream(spark: SparkSession, d: str) -> DataFrame:
     docs, ledger, kw, vec = _index_tables(spark, d)
     out = scratch(spark, "index-stream")
-    jobs.index_stream(_arriving(docs, "changed"), ledger, kw, vec, "m#32", out, f"{out}-state").awaitTermination()
-    return spark.read.parquet(out).select("id", "keyword", "vector")
+    jobs.index_stream(_arriving(docs.withColumn("version", F.lit(1)), "changed"), ledger, kw, vec, "m#32", out, f"{out}-state").awaitTermination()
+    return spark.read.parquet(f"{out}/actions").select("id", "keyword", "vector")
 
 
 @query(

@@ -124,6 +124,18 @@ def e17_llm_totals(spark: SparkSession, d: str) -> DataFrame:
     return us.llm_totals(turns).withColumn("cost", F.round("cost", 4))
 
 
+@query("SELECT coalesce(outcome, 'none') AS outcome, turns FROM (SELECT CASE event_id % 7 WHEN 0 THEN 'error' WHEN 1 THEN 'no_data' WHEN 2 THEN NULL ELSE 'grounded' END AS outcome, count(*) AS turns FROM usage WHERE route_class = 'chat' GROUP BY 1) WHERE outcome IS NOT NULL", "usage")
+def e17_chat_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("event_id") % 7
+    outcome = F.when(k == 0, "error").when(k == 1, "no_data").when(k > 2, "grounded")
+    return us.chat_outcomes(usage(spark, d).where("route_class = 'chat'").select(outcome.alias("outcome")))
+
+
+@query("SELECT route_class, count(*) AS rejections FROM usage WHERE total % 11 = 0 GROUP BY 1", "usage")
+def e17_rejections(spark: SparkSession, d: str) -> DataFrame:
+    return us.rejections(usage(spark, d).select("route_class", F.when(F.col("total") % 11 == 0, 429).otherwise(200).alias("status")))
+
+
 @query("SELECT strftime(max(last_synced_at), '%Y-%m-%d %H') AS last, date_diff('second', max(last_synced_at), TIMESTAMP '2026-04-01') > 86400 AS stale FROM datasets", "datasets")
 def e23_health(spark: SparkSession, d: str) -> DataFrame:
     return us.mirror_health(datasets(spark, d), F.lit("2026-04-01 00:00:00")).select(F.date_format("last_synced_at", "yyyy-MM-dd HH").alias("last"), "stale")

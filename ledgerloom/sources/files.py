@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import csv
 import io
+import itertools
 import re
 import zipfile
 from collections.abc import Iterator
@@ -80,6 +81,26 @@ def parser_for(kind: Column, content: Column, declared_format: Column) -> Column
     return F.when(kind == "tabular", tabular).when(kind.isin("geojson", "json", "xml"), kind).otherwise("text")
 
 
+def accepting_parser(kind: Column, content: Column, declared_format: Column, file_name: Column) -> Column:
+    """The kind's first parser if it takes the file by its declared format or name, else the first in order that does; text takes all.
+
+    Delimited text refuses zip bytes, and a workbook is also known by them.
+    """
+    declared, name = F.lower(F.coalesce(declared_format, F.lit(""))), F.lower(F.coalesce(file_name, F.lit("")))
+    is_zip = F.hex(F.substring(content, 1, 2)) == "504B"
+    ends = lambda pattern: F.rlike(name, F.lit(rf"\.(?:{pattern})$"))
+    takes = {
+        "csv": (declared.isin("csv", "tsv") | ends("csv")) & ~F.coalesce(is_zip, F.lit(False)),
+        "xlsx": (declared == "xlsx") | ends("xlsx") | F.coalesce(is_zip, F.lit(False)),
+        "geojson": (declared == "geojson") | ends("geojson"),
+        "json": declared.isin("json", "jsonl", "ndjson") | ends("json|jsonl|jsonnd"),
+        "xml": (declared == "xml") | ends("xml"),
+    }
+    own = F.when(kind == "tabular", "csv").otherwise(kind)
+    first = [F.when((own == name) & ok, name) for name, ok in takes.items()]
+    return F.coalesce(*first, F.when(kind == "text", "text"), *[F.when(ok, name) for name, ok in takes.items()], F.lit("text"))
+
+
 def sniff_encoding(data: bytes) -> tuple[str, float]:
     """(encoding, confidence) from a byte-order mark, valid UTF-8, or the share of Cyrillic-looking high bytes."""
     if data[:3] == b"\xef\xbb\xbf":
@@ -128,15 +149,23 @@ _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
 
-def parse_workbook(data: bytes) -> Iterator[tuple[str, list[str]]]:
-    """(sheet, cells) of every row in the workbook's order of sheets; empty sheets give nothing."""
+def sheet_slug(name: str, taken: set[str]) -> str:
+    """A sheet's name in lower-case letters, digits and dashes; where ``taken`` has it, with the first free number behind. Adds itself to ``taken``."""
+    base = re.sub(r"[\W_]+", "-", name.lower()).strip("-") or "sheet"
+    free = next(s for s in itertools.chain([base], (f"{base}-{n}" for n in itertools.count(1))) if s not in taken)
+    taken.add(free)
+    return free
+
+
+def parse_workbook(data: bytes) -> Iterator[tuple[int, str, list[str]]]:
+    """(number of the sheet, its name, cells) of every row in the workbook's order of sheets; empty sheets give nothing."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         names = set(z.namelist())
         shared: list[str] = []
         if "xl/sharedStrings.xml" in names:
             shared = ["".join(t.text or "" for t in si.iter(f"{_MAIN}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_MAIN}si")]
         rels = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        for sheet in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_MAIN}sheet"):
+        for number, sheet in enumerate(ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_MAIN}sheet")):
             target = rels[sheet.get(f"{_REL}id")].lstrip("/")
             with z.open(target if target.startswith("xl/") else f"xl/{target}") as f:
                 for _, row in ElementTree.iterparse(f):
@@ -157,39 +186,43 @@ def parse_workbook(data: bytes) -> Iterator[tuple[str, list[str]]]:
                         elif kind == "b":
                             value = "true" if value == "1" else "false"
                         cells.append(value)
-                    yield sheet.get("name"), cells
+                    yield number, sheet.get("name"), cells
                     row.clear()
 
 
-CELLS = "resource_id string, sheet string, row_no long, cells array<string>, error string"
+CELLS = "resource_id string, sheet string, slug string, row_no long, width int, cells array<string>, error string"
 
 
 def cells_of(files: DataFrame) -> DataFrame:
-    """(resource_id, sheet, row_no, cells, error) of delimited files and workbooks. files: (resource_id, parser, content).
+    """(resource_id, sheet, slug, row_no, width, cells, error) of delimited files and workbooks. files: (resource_id, parser, content).
 
-    A file's rows leave in batches of BATCH_ROWS; one that can't be parsed gives a row with its error.
+    width: cells of the table's first row; slug: the sheet's name as a path, unique in its workbook. A file's rows leave in batches of BATCH_ROWS; one that can't be parsed gives a row with its error.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["resource_id", "sheet", "row_no", "cells", "error"]
-        types = [pa.string(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.string()]
+        names = ["resource_id", "sheet", "slug", "row_no", "width", "cells", "error"]
+        types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.string()]
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], types[i]) for i in range(5)], names)
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], types[i]) for i in range(len(names))], names)
 
         def rows_of(rid: str, parser: str, data: bytes) -> Iterator[tuple]:
             if parser == "xlsx":
-                found, count = parse_workbook(data), {}
-                for sheet, cells in found:
-                    count[sheet] = count.get(sheet, -1) + 1
-                    yield rid, sheet, count[sheet], cells, None
-                if not count:
+                here, slug, taken, row_no, width = None, None, set(), 0, 0
+                for number, sheet, cells in parse_workbook(data):
+                    if number != here:
+                        here, slug, row_no, width = number, sheet_slug(sheet, taken), 0, len(cells)
+                    yield rid, sheet, slug, row_no, width, cells, None
+                    row_no += 1
+                if here is None:
                     raise ValueError("no sheet with rows")
             else:
                 encoding, _ = sniff_encoding(data)
                 text = data.decode("utf-8-sig" if encoding == "utf-8" else encoding, "replace")
+                width = 0
                 for i, cells in enumerate(parse_delimited(text)):
-                    yield rid, None, i, cells, None
+                    width = width if i else len(cells)
+                    yield rid, None, None, i, width, cells, None
 
         for batch in batches:
             held: list[tuple] = []
@@ -201,7 +234,7 @@ def cells_of(files: DataFrame) -> DataFrame:
                             yield batch_of(held)
                             held = []
                 except Exception as e:  # noqa: BLE001  a bad file never stops a run
-                    held.append((rid, None, None, None, f"{type(e).__name__}: {e}"))
+                    held.append((rid, *[None] * 5, f"{type(e).__name__}: {e}"))
             if held:
                 yield batch_of(held)
 

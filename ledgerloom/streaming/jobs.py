@@ -30,10 +30,10 @@ def curate_stream(captured: DataFrame, out: str, checkpoint: str) -> StreamingQu
     """
 
     def handle(batch: DataFrame, number: int) -> None:
-        good, bad = files.quarantine(files.cells_of(batch))
+        files.cells_of(batch).write.mode("overwrite").parquet(f"{out}/raw/batch={number}")  # files are parsed once
+        good, bad = files.quarantine(batch.sparkSession.read.parquet(f"{out}/raw/batch={number}"))
         bad.write.mode("overwrite").parquet(f"{out}/uncurated/batch={number}")
-        good.write.mode("overwrite").parquet(f"{out}/raw/batch={number}")
-        cells = curate.long_cells(batch.sparkSession.read.parquet(f"{out}/raw/batch={number}"))
+        cells = curate.long_cells(good)
         keys = ["resource_id", "sheet", "col_no"]
         curate.apply_types(cells, curate.infer_types(cells, keys), keys).write.mode("overwrite").parquet(f"{out}/cells/batch={number}")
 
@@ -41,12 +41,28 @@ def curate_stream(captured: DataFrame, out: str, checkpoint: str) -> StreamingQu
 
 
 def index_stream(changed: DataFrame, ledger: DataFrame, keyword_store: DataFrame, vector_store: DataFrame, model_id: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Index actions of changed documents (id, content_fp, embed_fp, embed_text) against the ledger as it stood at the start."""
+    """Index actions of changed documents (id, version, content_fp, embed_fp, embed_text) under ``out``/actions.
+
+    Of an id's versions in a batch the latest counts. A batch is judged against what the batches before it left:
+    each appends what it processed to ``out``/ledger, and a batch that runs again replaces its own part.
+    """
+    columns = ["id", "content_fp", "embed_fp", "model_id"]
 
     def handle(batch: DataFrame, number: int) -> None:
-        latest = batch.dropDuplicates(["id"])
-        actions = changes.index_actions(latest, ledger, keyword_store, vector_store, model_id)
-        actions.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        spark = batch.sparkSession
+        latest = changes.latest_by(batch, ["id"], [F.desc("version"), F.desc("content_fp"), F.desc("embed_fp")]).drop("version")
+        parts = ledger.select(*columns, F.lit(-1).cast("long").alias("batch"))
+        done = spark.createDataFrame([], "id string")
+        if number:
+            before = spark.read.parquet(f"{out}/ledger").where(F.col("batch") < number).select(*columns, F.col("batch").cast("long").alias("batch"))
+            parts, done = parts.unionByName(before), before.select("id").distinct()
+        now = changes.latest_by(parts, ["id"], [F.desc("batch")]).drop("batch")
+        stores = [x.select("id").unionByName(done.select(F.col("id").cast(x.schema["id"].dataType).alias("id"))) for x in (keyword_store, vector_store)]
+        changes.index_actions(latest, now, *stores, model_id).write.mode("overwrite").parquet(f"{out}/actions/batch={number}")
+        actions = spark.read.parquet(f"{out}/actions/batch={number}")
+        # blank texts have no vector, so the ledger doesn't take them
+        fresh = actions.where("vector <> 'empty_text'").select("id", "content_fp", "embed_fp", F.lit(model_id).alias("model_id"))
+        fresh.write.mode("overwrite").parquet(f"{out}/ledger/batch={number}")
 
     return _each_batch(changed, handle, checkpoint)
 
@@ -64,7 +80,7 @@ def run_alerts(events: DataFrame, threshold: float = 0.05) -> DataFrame:
 
 
 def rate_limit_stream(requests: DataFrame, rate: float) -> DataFrame:
-    """requests (key, id, ts) with ok and retry_after; the bucket of each key is state. Order within a micro-batch is by time."""
+    """requests (key, id, ts) with ok and retry_after; the bucket of each key is state. A key's rows of a micro-batch go by time, in however many frames they come."""
     at = requests.select(F.col("key").cast("string"), "id", (F.unix_micros("ts") / 1e6).alias("sec"))
     return at.groupBy("key").applyInPandasWithState(
         usage.limiter_state(rate), "key string, id long, ok boolean, retry_after long", "tokens double, at double", "append", "NoTimeout"

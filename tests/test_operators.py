@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import catalog, changes, curate, entities, geo, guards, search, usage
+from ledgerloom.plans import changes as changes_plan
 from ledgerloom.plans import registry
 from ledgerloom.sources import files, portal
+from ledgerloom.streaming import jobs
 
 
 def test_region_rollup(spark):
@@ -158,6 +160,111 @@ def test_rate_limit_batch_and_stream(spark, sf):
     assert batch == want and stream == want
 
 
+def test_rate_limit_stream_over_many_frames(spark, tmp_path):
+    """A key with more rows than a frame holds, given in no order of time, and a second micro-batch: as the batch replay."""
+    rows = [("a", i, (i * 7) % 40) for i in range(40)] + [("b", 100 + i, i) for i in range(9)]
+    frame = lambda part: spark.createDataFrame(part, "key string, id long, sec int").select("key", "id", F.timestamp_seconds("sec").alias("ts"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        first, second = [r for r in rows if r[2] < 20], [r for r in rows if r[2] >= 20]
+        for part in (first, second):
+            frame(part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+            stream = spark.readStream.schema("key string, id long, ts timestamp").parquet(f"{tmp_path}/in")
+            jobs.append_to(jobs.rate_limit_stream(stream, 2.0), f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+        got = {r["id"]: (r["ok"], r["retry_after"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {r["id"]: (r["ok"], r["retry_after"]) for r in usage.rate_limit(frame(rows), 2.0).collect()} and len({x[0] for x in got.values()}) == 2
+    late = usage.Bucket(1.0, 0.5, 100.0)
+    assert late.take(40.0) == (False, 30) and late.at == 100.0
+
+
+def test_index_stream_over_batches(spark, tmp_path):
+    """The latest version of an id counts, and a second batch is judged against what the first left."""
+    schema = "id string, version int, content_fp string, embed_fp string, embed_text string"
+    empty = spark.createDataFrame([], "id string, content_fp string, embed_fp string, model_id string")
+    batches = [[("x", 1, "c1", "e1", "t"), ("x", 2, "c2", "e2", "t"), ("y", 1, "c", "e", "t"), ("z", 1, "c", "e", " ")], [("x", 3, "c3", "e2", "t"), ("y", 2, "c", "e", "t"), ("w", 1, "c", "e", "t")]]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        jobs.index_stream(stream, empty, empty.select("id"), empty.select("id"), "m", f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    got = {(r["batch"], r["id"]): (r["content_fp"], r["keyword"], r["vector"]) for r in spark.read.parquet(f"{tmp_path}/out/actions").collect()}
+    assert got == {
+        (0, "x"): ("c2", "update", "embedded"), (0, "y"): ("c", "update", "embedded"), (0, "z"): ("c", "update", "empty_text"),
+        (1, "x"): ("c3", "update", "skip"), (1, "y"): ("c", "skip", "skip"), (1, "w"): ("c", "update", "embedded"),
+    }
+
+
+def test_rebuild_equals_increments(spark, sf):
+    """Two increments end with the ledger that a full rebuild gives, for all documents with a text; running again changes nothing."""
+    docs, was, kw, vec = changes_plan._index_tables(spark, sf)
+    ledger = was
+    for _ in range(2):
+        actions = changes.index_actions(docs, ledger, kw, vec, "m#32")
+        ledger = changes.next_ledger(actions, ledger, actions.where("1 = 0"), "m#32")
+        kw, vec = docs.select("id"), docs.where("trim(embed_text) <> ''").select("id")
+    whole = docs.where("trim(embed_text) <> ''").select("id")
+    key = lambda df: sorted(map(tuple, df.join(whole, "id", "left_semi").select("id", "content_fp", "embed_fp", "model_id").collect()))
+    assert key(ledger) == key(changes.rebuild(docs, "m#32")[1]) != []
+    again = changes.index_actions(docs, ledger, kw, vec, "m#32").join(whole, "id", "left_semi")
+    assert again.where("keyword <> 'skip' or vector <> 'skip'").count() == 0
+
+
+def test_model_is_called_once(spark):
+    """A text is sent to the model once, and its row is in one of the two results."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def embed(texts):
+        calls.add(len(texts))
+        if any("bad" in x for x in texts):
+            raise ValueError("refused")
+        return [[1.0]] * len(texts)
+
+    rows = spark.createDataFrame([(i, f"text {i}", "embedded") for i in range(50)], "id long, embed_text string, vector string")
+    good, bad = search.embed_changed(rows, embed)
+    assert (good.count(), bad.count(), calls.value) == (50, 0, 50)
+
+
+def test_gazetteer_of_many_patterns(spark, monkeypatch):
+    """Thousands of patterns in several blocks, overlapping ones, an empty and a null one: as plain search finds."""
+    patterns = [(i, f"p{i % 900}", f"L{i % 900}", f"Kw{i}", "canonical" if i % 2 else "alias") for i in range(5000)] + [(9001, "all", "All", "", "alias"), (9002, "none", "None", None, "alias")]
+    texts = [(1, "kw12 and KW4999x"), (2, "nothing"), (3, None), (4, "kw7kw77kw777"), (1, "kw3")]
+    monkeypatch.setattr(entities, "PATTERN_BLOCK", 2000)
+    gaz = spark.createDataFrame(patterns, "ord int, place_id string, label string, pattern string, match_type string")
+    got = {(r["dataset_id"], r["place_id"]): (r["label"], r["match_type"]) for r in entities.place_matches(spark.createDataFrame(texts, "dataset_id long, text string"), gaz).collect()}
+    want = {}
+    for k, text in texts:
+        for i, place, label, p, kind in patterns:
+            if text is not None and p is not None and p.lower() in text.lower():
+                best = want.get((k, place))
+                if best is None or (-len(p), i) < best[0]:
+                    want[(k, place)] = ((-len(p), i), (label, kind))
+    assert got == {k: v[1] for k, v in want.items()}
+
+
+def test_keyword_search_by_join(spark, monkeypatch):
+    """Queried tokens beyond what is written into the plan give the same hits."""
+    docs = spark.createDataFrame([(i, f"a{i % 7} b{i % 3}", "c d-e " * (i % 5)) for i in range(60)], "id long, title string, text string")
+    asked = spark.createDataFrame([(1, "a1 b1"), (2, "d-e"), (3, "zz"), (4, "b2")], "query_id long, query string")
+    key = lambda: sorted(map(tuple, search.keyword_search(asked, docs, ["title", "text"], 5).select("query_id", "id", "score", "rank").collect()))
+    inline = key()
+    monkeypatch.setattr(search, "MAX_INLINE_TERMS", 1)
+    assert key() == inline and {r[0] for r in inline} == {1, 2, 4}
+
+
+def test_sheet_slugs_and_writers(spark, tmp_path):
+    taken = set()
+    assert [files.sheet_slug(x, taken) for x in ("Лист 1", "ЛИСТ-1", "лист_1", "§", "")] == ["лист-1", "лист-1-1", "лист-1-2", "sheet", "sheet-1"]
+
+
+def test_claims(spark):
+    """A lead or a plus, the noun within reach in the same clause; a word before the digits, a new clause or a far noun make none."""
+    cases = {"more  than 40 sets and datasets": [40], "повече от 30\u00a0набора": [30], "40+ datasets": [40], "40 + big datasets": [40], "x40+ datasets": [], "over 40. datasets": [], "over 40 " + "x" * 24 + "dataset": [40], "over 40 " + "x" * 25 + "dataset": [], "40 datasets": [], "над 24 часа": [], "over 5 and 6+ datasets": [5, 6]}
+    df = spark.createDataFrame([(i, a) for i, a in enumerate(cases)], "i int, a string")
+    got = {r["i"]: [int(x) for x in r["n"]] for r in df.select("i", guards.claimed_numbers(F.col("a")).alias("n")).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+
+
 def test_places_are_dense(spark):
     got = catalog.with_place(spark.range(1000).withColumn("k", F.col("id") % 10), [F.col("k").desc(), F.col("id")]).orderBy("place").collect()
     assert [r["place"] for r in got] == list(range(1, 1001)) and [r["id"] for r in got[:3]] == [9, 19, 29]
