@@ -64,7 +64,7 @@ def learn(docs: DataFrame, top: int = PROFILE) -> dict[str, np.ndarray]:
 
         def flush(lang: str) -> pa.RecordBatch:
             got, n = np.unique(np.concatenate(held.pop(lang)), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array([lang] * len(got)), pa.array(got), pa.array(n)], ["lang", "gram", "n"])
+            return pa.RecordBatch.from_arrays([pa.array([lang] * len(got), pa.string()), pa.array(got, pa.int64()), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, n_words_of, stored
+from .common import broadcast_if_small, n_words_of, packed, stored
 
 WEIGHTS = (3, 1, 2)
 SHARE, MAX_REPEATS = 1.5, 2
@@ -114,6 +114,6 @@ def take_mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = S
     )
     # per source: everything lo times, and hi times up to the largest hash that is taken so often
     plan = stored(plan.select(F.col("source").alias("__s"), F.col("lo").alias("__lo"), F.col("hi").alias("__hi"), F.col("x.h").alias("__h")), "mix-take")
-    at = docs.join(broadcast_if_small(plan, 100_000), F.col("source").eqNullSafe(F.col("__s")))
+    at = packed(docs, "doc_id", "source").join(broadcast_if_small(plan, 100_000), F.col("source").eqNullSafe(F.col("__s")))
     times = F.when(hash60(F.col("doc_id")) <= F.col("__h"), F.col("__hi")).otherwise(F.col("__lo"))
-    return at.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*docs.columns)
+    return at.select("doc", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select("doc.*")

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import TEXT_BATCH, broadcast_if_small, connected_components, discard, stored
+from .common import TEXT_BATCH, broadcast_if_small, connected_components, discard, packed, stored
 from .shingles import shingle_sets
 
 PERCENT = 75
@@ -473,12 +473,12 @@ def keep_first(docs: DataFrame) -> DataFrame:
     repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
     if repeated.isEmpty():
         found = stored(components(docs.select("doc_id", "text")), "components")
-        gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__d"))
-        return docs.join(broadcast_if_small(gone, MAX_BROADCAST), F.col("doc_id") == F.col("__d"), "left_anti")
-    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    found = components(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "component_id")
-    found = stored(rows.select("__row", "doc_id").join(found, "__row"), "components")
-    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__row")
-    first = found.groupBy("component_id").agg(F.min(order).alias("x")).select(F.col("x.__row").alias("__row"))
-    gone = stored(found.select("__row").join(first, "__row", "left_anti"), "gone")
-    return rows.join(broadcast_if_small(gone, MAX_BROADCAST), "__row", "left_anti").select(*docs.columns)
+        gone = found.where("doc_id <> component_id").select("doc_id")
+        return packed(docs, "doc_id").join(broadcast_if_small(gone, MAX_BROADCAST), "doc_id", "left_anti").select("doc.*")
+    rows = stored(packed(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "rows")
+    found = components(rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id")
+    found = stored(rows.select("row", "doc_id").join(found, "row"), "components")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
+    first = found.groupBy("component_id").agg(F.min(order).alias("x")).select("x.row")
+    gone = stored(found.select("row").join(first, "row", "left_anti"), "gone")
+    return rows.select("row", "doc").join(broadcast_if_small(gone, MAX_BROADCAST), "row", "left_anti").select("doc.*")

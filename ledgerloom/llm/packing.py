@@ -214,7 +214,8 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH) -> DataFram
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     base = stored(sums.select(F.col("range").alias("r"), F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base")), "pack-base")
     line = placed.join(F.broadcast(base), F.col("range") == F.col("r")).select("range", "curve", "row_id", "doc_id", "n", "base", "ids", "kind")
-    line = line.repartition(len(edges) + 1, "range").sortWithinPartitions("range", "curve", "row_id")
+    # a range a task; hashed, several would meet in one
+    line = line.repartitionById(len(edges) + 1, F.col("range").cast("int")).sortWithinPartitions("range", "curve", "row_id")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, at = None, 0

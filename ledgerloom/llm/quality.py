@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, broadcast_if_small, let, stored, words_of
+from .common import WS, broadcast_if_small, let, packed, stored, words_of
 
 SYMBOLS = "#*$%&|<>"
 #: Frequent function words by language.
@@ -234,5 +234,5 @@ def keep_good(docs: DataFrame) -> DataFrame:
     Texts are scanned twice, for the references and for the verdict, and never shuffled. Columns of any name come
     back as they were, since the rules see text and lang only.
     """
-    rows = features(docs.select(F.struct(*docs.columns).alias("__doc"), "text", "lang"))
-    return judge(rows, fit_references(rows.drop("__doc", "text"))).where("kept").select("__doc.*")
+    rows = features(packed(docs, "text", "lang"))
+    return judge(rows, fit_references(rows.drop("doc", "text"))).where("kept").select("doc.*")

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, let, starts, stored
+from .common import broadcast_if_small, let, packed, starts, stored
 
 
 @dataclass(frozen=True)
@@ -203,7 +203,7 @@ def redact(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """
     found = stored(find(docs, rules).where("size(spans) > 0").dropDuplicates(["doc_id", "text_hash"]), "secrets")
     found = broadcast_if_small(found.select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h"), F.col("spans").alias("__spans")), MAX_BROADCAST)
-    at = docs.join(found, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__h")), "left")
+    at = packed(docs, "doc_id", "text").join(found, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__h")), "left")
     # overlapping spans of several rules become one
     joined = F.aggregate(
         "__spans",
@@ -228,9 +228,10 @@ def redact(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
         return F.concat(F.array_join(parts, ""), F.substring(text, F.element_at(m, -1)["e"] + 1, F.length(text)))
 
     new = F.when(F.col("__spans").isNull(), text).otherwise(let(joined, masked))
-    out = at.withColumn("text", new)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+    at = at.select("doc", F.col("__spans").isNull().alias("clean"), new.alias("text"))
+    own = {c: F.col("doc").getField(c) for c in docs.columns} | {"text": F.col("text")}
+    if "n_chars" in own:
+        own["n_chars"] = F.when(F.col("clean"), own["n_chars"]).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))
+    return at.select(*[own[c].alias(c) for c in docs.columns])
 
 

@@ -242,6 +242,27 @@ def test_mix(spark, docs):
     assert mixing.mix(docs).count() == len(TEXTS) + 1 and mixing.mix(docs.limit(0)).count() == 0 and mixing.take_mix(docs).columns == docs.columns
 
 
+def test_mix_targets_by_steps(spark):
+    """The closed form of the targets equals resharing step by step; null is a source and goes last."""
+    rng = np.random.default_rng(8)
+    for _ in range(6):
+        sizes = [(s, int(rng.integers(0, 10 ** rng.integers(1, 6)))) for s in [*"acBxéz"[: rng.integers(1, 7)], None]]
+        got = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(sizes, "source string, size long")).collect()}
+        order = sorted(s for s, _ in sizes if s is not None) + [None]
+        weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+        size, free, left, want = dict(sizes), set(order), 1.5 * sum(n for _, n in sizes), {}
+        while free:
+            share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+            over = {s for s in free if share[s] > 2 * size[s]}
+            if not over:
+                want |= share
+                break
+            want |= {s: 2.0 * size[s] for s in over}
+            left -= sum(2 * size[s] for s in over)
+            free -= over
+        assert got.keys() == want.keys() and all(abs(got[s] - want[s]) <= 1e-6 * max(1, want[s]) for s in want)
+
+
 def test_licenses(spark, docs):
     rows = [(i, "pre " * i + t.text + " post") for i, t in enumerate(licenses.TEMPLATES)] + [(99, "nothing here"), (98, None)]
     got = {r["doc_id"]: [x["name"] for x in r["licenses"]] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -282,6 +303,19 @@ def test_secrets(spark, docs, real):
     assert clean.count() == df.count() and secrets.find(clean, secrets.BASE_RULES[1:]).where("size(spans) > 0").count() == 0
 
 
+def test_secrets_of_all_rules(spark):
+    """Spans of every rule, in order, in texts where several kinds meet."""
+    rng = np.random.default_rng(4)
+    bits = [*SECRETS, "xoxb-" + "9" * 12, "eyJ" + "a" * 9 + "." + "b" * 9 + "." + "c" * 9, "sk_live_" + "Z" * 20, "AIza" + "q" * 35, "-----BEGIN PRIVATE KEY-----", "plain words", "ghp_short", "😀"]
+    texts = [" ".join(bits[i] for i in rng.integers(0, len(bits), rng.integers(0, 7))) for _ in range(120)]
+    got = {r["doc_id"]: r["spans"] for r in secrets.digest(secrets.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
+    for i, text in enumerate(texts):
+        found = []
+        for k, rule in enumerate(secrets.RULES):
+            found += [(m.start(), k, m.end(), rule.kind) for m in re.finditer(rule.regex, text) if len(m[rule.group]) >= rule.least]
+        assert got[i] == ",".join(f"{x[3]}:{x[0]}:{x[2]}" for x in sorted(found))
+
+
 def test_trigram_queries():
     assert secrets.trigram_query("[0-9a-f]{16,}") == []
     assert secrets.trigram_query("abc(?:de|fg)h?") == [frozenset({"abc", "bcd", "cde"}), frozenset({"abc", "bcf", "cfg"})]
@@ -321,6 +355,48 @@ def test_language_id(spark, docs, real):
     assert sorted(map(tuple, blind)) == sorted(map(tuple, out.groupBy("lang_pred").count().collect()))
 
 
+def brute_languages(rows, top):
+    """(lang, score) of each row by plain counting. rows: (doc_id, text, lang)."""
+
+    def grams(text):
+        out = collections.Counter()
+        for w in "".join(c if c.isalpha() else " " for c in (text or "").lower()).split(" "):
+            if w:
+                p = [0, *map(ord, w), 0]
+                out.update(p[1:-1])
+                out.update((1 << 62) | (a << 21) | b for a, b in zip(p, p[1:]))
+                out.update((a << 42) | (b << 21) | c for a, b, c in zip(p, p[1:], p[2:]))
+        return out
+
+    best = lambda n: [g for g, _ in sorted(n.items(), key=lambda x: (-x[1], x[0]))[:top]]
+    sums = collections.defaultdict(collections.Counter)
+    for k, text, lang in rows:
+        if lang is not None and zlib.crc32(("" if k is None else str(k)).encode()) % 3 != 1 and grams(text):
+            sums[lang] += grams(text)
+    places = {lang: {g: i for i, g in enumerate(best(n))} for lang, n in sums.items()}
+    out = []
+    for _, text, _ in rows:
+        own = best(grams(text))
+        far = {lang: sum(min(abs(at[g] - i), top) if g in at else top for i, g in enumerate(own)) for lang, at in places.items()}
+        nearest = min(far, key=lambda x: (far[x], x)) if own and far else None
+        out.append(("und", 0.0) if nearest is None else (nearest, 1 - far[nearest] / (top * len(own))))
+    return out
+
+
+@pytest.mark.parametrize("top", [300, 7])
+def test_language_id_by_brute_force(spark, docs, real, monkeypatch, top):
+    """Profiles, distances, ties (of ranks at the cut, and of languages with the same profile) and scores; counts sent on in many parts."""
+    monkeypatch.setattr(langid, "FLUSH", 500)
+    twins = [(5000 + i, "zebra zorn zebra", lang) for i, lang in enumerate(["yy", "yz"] * 6)] + [(5100, "zebra", None), (5101, "Ü ß ﬁ 😀 ǆ", None), (None, "zebra zorn", "yy")]
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.select("doc_id", "text", "lang").unionByName(real.select("doc_id", "text", "lang").limit(80)).collect()] + twins
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, lang string, at int")
+    profiles = langid.learn(df.where(~langid.held_out(F.col("doc_id"))), top)
+    got = {r["doc_id"]: (r["lang_pred"], round(r["score"], 12)) for r in langid.predict(df.select(F.col("at").cast("long").alias("doc_id"), "text"), profiles, top).collect()}
+    want = brute_languages(rows, top)
+    assert got == {i: (lang, round(score, 12)) for i, (lang, score) in enumerate(want)}
+    assert got[len(rows) - 3][0] == "yy"
+
+
 def test_hilbert_curve():
     side = 8
     grid = np.array([(x, y, z) for x in range(side) for y in range(side) for z in range(side)])
@@ -383,6 +459,55 @@ def test_packing_of_added_tokens(spark, tmp_path):
         assert sums == {i: len(x) for i, x in want.items()}
 
 
+#: Names that the operators use inside or give out; a table may have them as columns of its own.
+CLASHES = (
+    "n n_words kept class_ref word_ref ref_lang class_counts word_counts n_text_chars sid mark token tokens size block comp g r rest component_id node component x h s source_size target taken times below lo hi "
+    "kinds spans text_hash d a b side part key ids kind curve row_id range base start length sequence_id offset score held_out lang_pred licenses votes place __d __h __s __t __row __doc"
+).split()
+
+
+@pytest.fixture(scope="module")
+def clashing(spark, real):
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in real.limit(60).collect()]
+    rows += [(1000 + i, t, "en", None, 0) for i, t in enumerate([*TEXTS, *SECRETS, SECRETS[0]])] + [(None, "lone row", None, None, None)]
+    return spark.createDataFrame([(*r, *[f"{c}-{i}" for c in CLASHES]) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHES))
+
+
+@pytest.mark.parametrize("stage", range(4))
+def test_stages_keep_other_columns(spark, clashing, stage):
+    """Whatever a table's other columns are called, they come back as they were, and they change no decision."""
+    apply = corpus_pipeline.STAGES[stage][1]
+    own = ["doc_id", "text", "lang", "source", "n_chars"]
+    kept = apply(spark, clashing, SF)
+    assert kept.columns == clashing.columns
+    rows = kept.collect()
+    before = {r["n"]: r for r in clashing.collect()}
+    assert rows and all(r[c] == before[r["n"]][c] for r in rows for c in [*CLASHES, "doc_id", "lang", "source"])
+    key = lambda rs: sorted(repr([r[c] for c in own if stage != 1 or c == "text"]) for r in rs)  # noqa: E731  any one of equal rows may stay
+    assert key(rows) == key(apply(spark, clashing.select(*own), SF).collect())
+    assert apply(spark, clashing.limit(0), SF).count() == 0
+
+
+def test_operators_ignore_other_columns(spark, clashing):
+    own = clashing.select("doc_id", "text", "lang", "source", "n_chars")
+    key = lambda df: sorted(map(repr, df.collect()))
+    for f in (
+        lambda t: ngram_join.components(t),
+        lambda t: mixing.mix(t).select("doc_id", "size", "target", "taken"),
+        lambda t: secrets.digest(secrets.find(t)),
+        lambda t: langid.identify(t),
+        lambda t: licenses.scan(t).select("doc_id", "licenses"),
+        lambda t: packing.pack(t, queries.tokenizer_path()).select("doc_id", "doc_tokens", "start").where("start = 0"),
+        lambda t: quality.scores(t).select("doc_id", "n_words", "n_repeat_words", "base_failed", "kept"),
+    ):
+        assert key(f(clashing)) == key(f(own))
+
+
+def test_pipeline_of_an_empty_table(spark, real, tmp_path):
+    real.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_components_of_long_paths(spark):
     path = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     star = spark.range(200).select(F.lit(1000).cast("long").alias("a"), (F.col("id") + 1001).alias("b"))
