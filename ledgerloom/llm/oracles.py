@@ -6,7 +6,7 @@ pipeline: the tests hold these against plain Python versions.
 
 from __future__ import annotations
 
-from . import licenses, quality
+from . import licenses, quality, urls
 
 WORDS = "[x for x in string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+') if x <> '']"
 
@@ -70,14 +70,18 @@ pairs AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.l
 deg AS (SELECT a AS id, count(*) AS n FROM lk GROUP BY 1)
 SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(c, vec_id) AS component_id, coalesce(c, vec_id) = vec_id AS kept FROM v LEFT JOIN comp ON comp.id = vec_id LEFT JOIN deg ON deg.id = vec_id"""
 
-_URLS = """WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
+_URLS = f"""WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
 h AS (SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(r, '^[^/?#]*(/[^?#]*)', 1) AS path FROM u),
 s(rule, verdict, rh, rp) AS (VALUES ('net/', 'block', 'net', '/'), ('example.net/en/', 'allow', 'example.net', '/en/'), ('example.com/de/', 'block', 'example.com', '/de/'), ('org/fr/', 'allow', 'org', '/fr/')),
 w(word) AS (VALUES ('spam-farm'), ('cheap-pills'), ('casino'), ('free-casino'), ('poker'), ('viagra'), ('porn'), ('xxx'), ('payday-loans'), ('click-bait'), ('torrent'), ('warez')),
+p(pattern) AS (VALUES {_rows([(r.name,) for r in urls.PATTERN_RULES])}),
+x AS (SELECT pattern, '(?is)' || CASE WHEN starts_with(pattern, '||') THEN '^([^/]*[.])?' ELSE '' END
+  || replace(replace(replace(trim(pattern, '|'), '.', '[.]'), '*', '.*'), '^', '([^a-z0-9]|\\z)') || CASE WHEN ends_with(pattern, '|') THEN '\\z' ELSE '' END AS regex FROM p),
 fits AS (SELECT page_id, 1 AS rank, rule, verdict FROM h JOIN s ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)
-  UNION ALL SELECT page_id, 0, 'word:' || word, 'block' FROM h JOIN w ON regexp_matches(host || path, '(^|[^a-z0-9])(?i:' || replace(word, '-', '[^a-z0-9]+') || ')([^a-z0-9]|$)')),
+  UNION ALL SELECT page_id, 0, 'word:' || word, 'block' FROM h JOIN w ON regexp_matches(host || path, '(^|[^a-z0-9])(?i:' || replace(word, '-', '[^a-z0-9]+') || ')([^a-z0-9]|$)')
+  UNION ALL SELECT page_id, 0, pattern, 'block' FROM h JOIN x ON regexp_matches(host || path, regex)),
 best AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY rank DESC, length(rule) DESC, rule DESC) AS k FROM fits)
-SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM h LEFT JOIN (SELECT * FROM best WHERE k = 1) USING (page_id)"""
+SELECT page_id, host, path, CASE WHEN rank = 1 THEN rule END AS rule, coalesce(verdict, 'allow') AS verdict, CASE WHEN rank = 0 THEN rule END AS pattern FROM h LEFT JOIN (SELECT * FROM best WHERE k = 1) USING (page_id)"""
 
 _MIX = f"""WITH d AS (SELECT doc_id, source, CAST(len({WORDS}) AS BIGINT) AS size, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST(([3, 1, 2])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS w FROM d GROUP BY source),

@@ -37,7 +37,8 @@ def op4_embedding_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return urls.judge(pages).select("page_id", "host", "path", "rule", "verdict")
+    site = F.col("rule").isin([r.name for r in urls.SITE_RULES])
+    return urls.judge(pages).select("page_id", "host", "path", F.when(site, F.col("rule")).alias("rule"), "verdict", F.when(~site, F.col("rule")).alias("pattern"))
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

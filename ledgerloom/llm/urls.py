@@ -61,6 +61,31 @@ def word_rule(word: str, verdict: str = "block") -> Rule:
     return Rule(f"word:{word}", verdict, f"(?:^|[^a-z0-9])(?i:{'[^a-z0-9]+'.join(parts)})(?:[^a-z0-9]|$)", tuple(parts))
 
 
+def pattern_rule(pattern: str, verdict: str = "block") -> Rule:
+    """A rule in the usual filter notation, A-Z and a-z alike, anywhere in host + path.
+
+    ``*`` is any run of characters, ``^`` a separator (no letter or digit) or the end, ``||`` in front the
+    start of the host or of one of its labels, ``|`` behind the end. A run of letters and digits is a token
+    of every URL that fits only if the pattern itself ends it on both sides; a pattern may have none.
+    """
+    at_host, at_end = pattern.startswith("||"), pattern.endswith("|")
+    body = pattern.strip("|")
+    signs = {"*": ".*", "^": "(?:[^a-z0-9]|\\z)"}
+    regex = "".join(signs.get(c) or (c if c.isascii() and c.isalnum() else f"\\{c}") for c in body)
+    # what may stand beside a run: '/' for a fixed end, '*' for an open one
+    framed = ("/" if at_host else "*") + body.lower() + ("/" if at_end else "*")
+    tokens, start = [], None
+    for i, c in enumerate(framed):
+        if c.isascii() and c.isalnum():
+            start = i if start is None else start
+        elif start is not None:
+            if "*" not in (framed[start - 1], c):
+                tokens.append(framed[start:i])
+            start = None
+    anchor = "^(?:[^/]*\\.)?" if at_host else ""
+    return Rule(pattern, verdict, f"(?is){anchor}{regex}" + ("\\z" if at_end else ""), tuple(dict.fromkeys(tokens)))
+
+
 SITE_RULES = (
     site_rule("net/", "block"),
     site_rule("example.net/en/", "allow"),
@@ -70,7 +95,15 @@ SITE_RULES = (
 WORD_RULES = tuple(
     word_rule(w) for w in ("spam-farm", "cheap-pills", "casino", "free-casino", "poker", "viagra", "porn", "xxx", "payday-loans", "click-bait", "torrent", "warez")
 )
-RULES = SITE_RULES + WORD_RULES
+#: Hosts of advertisements and tracking, downloads, redirects and log-in forms; the last three hold no whole token.
+PATTERN_RULES = tuple(
+    pattern_rule(p)
+    for p in (
+        "||ads.", "||ads-*.", "||adult-*.", "||adserver*.", "||click.", "||counter.", "||tracker.", "||tracking-*.", "||pixel.", "/wp-login.", "/wp-admin^", "/cgi-bin/*redirect", "^affiliate^",
+        "^sponsored^", "/out/*/go^", "/download/*.exe|", "/download/*.apk|", "^sale^*^cheap^", "^lottery^winner^", "/popunder*.js|", "/banner*.gif|", "00000000", "lorem*ipsum",
+    )
+)
+RULES = SITE_RULES + WORD_RULES + PATTERN_RULES
 
 
 def with_host_path(pages: DataFrame) -> DataFrame:
