@@ -50,10 +50,16 @@ def c3_grid_filter(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "part").where(catalog.grid_filter({"p_name": " RED ", "p_brand": "1", "p_type": "  "})).select("p_partkey")
 
 
-@query("SELECT id FROM geo_units WHERE id IN ('region:2', 'nation:1') OR parent = 'region:2'", "geo_units")
+def customer_units(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as units below their nations, so that the hierarchy grows with the tables."""
+    key = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
+    return t(spark, d, "customer").select(key("customer", "c_custkey").alias("id"), F.col("c_name").alias("code"), key("nation", "c_nationkey").alias("parent"))
+
+
+@query("SELECT 'customer:' || c_custkey AS id FROM customer WHERE c_nationkey IN (2, 7) OR c_custkey = 1 UNION SELECT id FROM geo_units WHERE id IN ('nation:2', 'nation:7', 'region:2') OR parent = 'region:2'", "geo_units")
 def c4_expand_places(spark: SparkSession, d: str) -> DataFrame:
-    units = geo_units(spark, d)
-    return geo.expand_places(units.where(F.col("id").isin("region:2", "nation:1")), units)
+    units = geo_units(spark, d).select("id", "parent").unionByName(customer_units(spark, d).select("id", "parent"))
+    return geo.expand_places(units.where(F.col("id").isin("region:2", "nation:2", "nation:7", "customer:1")), units)
 
 
 @query(f"SELECT id FROM datasets WHERE lifecycle <> 'withdrawn' AND {STALE_SQL} AND publisher_id = 'src3' AND id IN ('3', '23', '43', '63')", "datasets")
@@ -195,25 +201,24 @@ def d12_polygon_parents(spark: SparkSession, d: str) -> DataFrame:
     return geo.assign_parents(t(spark, d, "customer").select(F.col("c_custkey").alias("child_id"), ring.alias("ring")), parents)
 
 
-@query(
-    """SELECT 'nation:' || n_nationkey AS entity_id, CASE WHEN n_nationkey % 4 > 0 THEN 'lau' || n_nationkey END AS feature_id FROM nation"""
-)
+@query("""SELECT 'customer:' || c_custkey AS entity_id, CASE WHEN EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) THEN 'lau' || c_custkey END AS feature_id FROM customer""")
 def d13_crosswalk(spark: SparkSession, d: str) -> DataFrame:
-    n = t(spark, d, "nation")
-    units = n.select(F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("code"))
-    features = n.where("n_nationkey % 4 > 0").select(F.concat(F.lit("lau"), F.col("n_nationkey").cast("string")).alias("feature_id"), F.col("n_name").alias("code"))
+    """Features are the customers that ordered; the others are gaps."""
+    units = customer_units(spark, d).select("id", "code")
+    ordered = t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct()
+    features = t(spark, d, "customer").join(ordered, "c_custkey", "left_semi").select(F.concat(F.lit("lau"), F.col("c_custkey").cast("string")).alias("feature_id"), F.col("c_name").alias("code"))
     found, gaps = geo.crosswalk(units, features)
     return found.select("entity_id", "feature_id").unionByName(gaps.select(F.col("id").alias("entity_id"), F.lit(None).cast("string").alias("feature_id")))
 
 
 @query(
     """SELECT DISTINCT region FROM (SELECT dataset_id, min(region) AS region FROM (SELECT DISTINCT dataset_id, coalesce(parent, u.id) AS region FROM geo_links JOIN geo_units u ON entity_id = u.id)
-       WHERE CAST(dataset_id AS BIGINT) % 100 = 0 GROUP BY 1 HAVING count(*) = 1)""",
+       GROUP BY 1 HAVING count(*) = 1)""",
     "geo_units geo_links",
 )
 def e21_map_anchor(spark: SparkSession, d: str) -> DataFrame:
-    """Every hundredth order is cited."""
-    cited = t(spark, d, "orders").where("o_orderkey % 100 = 0").select(F.col("o_orderkey").cast("string").alias("dataset_id"))
+    """Every order is cited."""
+    cited = t(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("dataset_id"))
     return geo.map_anchor(cited, geo_links(spark, d), geo_units(spark, d))
 
 

@@ -98,18 +98,18 @@ def _workbook(rows: list[tuple[str, list[list[str]]]]) -> bytes:
 
 
 @query(
-    """SELECT CAST(n_regionkey AS VARCHAR) AS resource_id, 'nations' AS sheet, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS row_no, n_name || '||' || n_nationkey AS cells FROM nation
-       UNION ALL SELECT DISTINCT CAST(n_regionkey AS VARCHAR), 'nations', 0, 'name||7|true' FROM nation"""
+    """SELECT CAST(o_custkey AS VARCHAR) AS resource_id, 'orders' AS sheet, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS row_no, o_orderstatus || '||' || o_orderkey AS cells FROM orders
+       UNION ALL SELECT DISTINCT CAST(o_custkey AS VARCHAR), 'orders', 0, 'name||7|true' FROM orders"""
 )
 def a6_workbooks(spark: SparkSession, d: str) -> DataFrame:
-    """A workbook a region, written and read back."""
+    """A workbook of each customer's orders, written and read back."""
 
     def write(parts):
         for p in parts:
-            data = [_workbook([("nations", [[n, "", str(k)] for k, n in rows]), ("empty", [])][:1]) for rows in p["rows"].map(lambda rs: [(r["n_nationkey"], r["n_name"]) for r in rs])]
+            data = [_workbook([("orders", [[r["o_orderstatus"], "", str(r["o_orderkey"])] for r in rows])]) for rows in p["rows"]]
             yield pd.DataFrame({"resource_id": p["resource_id"], "parser": "xlsx", "content": data})
 
-    by = t(spark, d, "nation").groupBy(F.col("n_regionkey").cast("string").alias("resource_id")).agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("rows"))
+    by = t(spark, d, "orders").groupBy(F.col("o_custkey").cast("string").alias("resource_id")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))).alias("rows"))
     cells = files.cells_of(by.mapInPandas(write, "resource_id string, parser string, content binary"))
     return cells.select("resource_id", "sheet", "row_no", F.array_join("cells", "|").alias("cells"))
 

@@ -75,11 +75,15 @@ def b6_slugs(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "part").select("p_partkey", tx.slug(F.concat_ws("", "p_name", F.lit(" / "), "p_brand", F.lit("!"))).alias("slug"))
 
 
-@query("""SELECT n_nationkey, n_nationkey % 3 > 0 AS has_cyrillic, n_nationkey % 3 = 2 AS is_cyrillic FROM nation""")
+@query(
+    """SELECT doc_id, regexp_matches(s, '[А-Яа-яЁёЍѝ]') AS has_cyrillic, regexp_matches(s, '[А-Яа-яЁёЍѝ]') AND NOT regexp_matches(s, '[A-Za-z]') AS is_cyrillic
+       FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN text || ' страна' ELSE regexp_replace(text, '[A-Za-z]', '', 'g') || ' страна' END AS s FROM documents)"""
+)
 def b7_scripts(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("n_nationkey") % 3
-    name = F.when(k == 0, F.col("n_name")).when(k == 1, F.concat_ws(" ", "n_name", F.lit("страна"))).otherwise("страна 7")
-    return t(spark, d, "nation").select("n_nationkey", tx.has_cyrillic(name).alias("has_cyrillic"), tx.is_cyrillic(name).alias("is_cyrillic"))
+    """Whole texts as they are, with a Cyrillic word, and with that word and no Latin letter."""
+    k, word = F.col("doc_id") % 3, F.lit(" страна")
+    s = F.when(k == 0, F.col("text")).when(k == 1, F.concat("text", word)).otherwise(F.concat(F.regexp_replace("text", "[A-Za-z]", ""), word))
+    return t(spark, d, "documents").select("doc_id", tx.has_cyrillic(s).alias("has_cyrillic"), tx.is_cyrillic(s).alias("is_cyrillic"))
 
 
 @query(

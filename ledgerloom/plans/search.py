@@ -103,23 +103,22 @@ def lines_of(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("resource_id"), F.posexplode(F.split("text", "\n")).alias("row_no", "text"))
 
 
-@query(
-    f"""WITH {HYBRID_SQL.replace('{top}', '5')}, r AS (SELECT query_id, rank, doc_id, pos, line FROM hyb JOIN (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) ON doc_id = id WHERE rank <= 3 AND pos <= 20),
+def _packs_sql(hits: str) -> str:
+    """SQL of the packs of the ranked ``hits`` under the operator's own limits."""
+    return f"""r AS (SELECT query_id, rank, doc_id, pos, line FROM {hits} JOIN (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) ON doc_id = id WHERE rank <= 3 AND pos <= 1000),
         u AS (SELECT *, sum(length(line) + 1) OVER w AS used, row_number() OVER w AS no FROM r WINDOW w AS (PARTITION BY query_id ORDER BY rank, doc_id, pos))
-        SELECT query_id, md5(string_agg(line, chr(10) ORDER BY no)) AS pack FROM u WHERE used <= 3000 OR no = 1 GROUP BY 1"""
-)
+        SELECT query_id, md5(string_agg(line, chr(10) ORDER BY no)) AS pack FROM u WHERE used <= 90000 OR no = 1 GROUP BY 1"""
+
+
+@query(f"WITH {BM25_SQL}, {_packs_sql('kw')}")
 def k7_grounding(spark: SparkSession, d: str) -> DataFrame:
-    """The packs under small limits."""
-    return se.grounding_pack(hybrid(spark, d, 5), lines_of(spark, d), 3, 20, 3000).select("query_id", F.md5("pack").alias("pack"))
+    """The packs of the keyword hits alone: 3 hits, 1000 rows a resource, 90,000 characters."""
+    return se.grounding_pack(keyword(spark, d), lines_of(spark, d)).select("query_id", F.md5("pack").alias("pack"))
 
 
-@query(
-    f"""WITH {HYBRID_SQL.replace('{top}', '5')}, r AS (SELECT query_id, rank, doc_id, pos, line FROM hyb JOIN (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) ON doc_id = id WHERE rank <= 3 AND pos <= 1000),
-        u AS (SELECT *, sum(length(line) + 1) OVER w AS used, row_number() OVER w AS no FROM r WINDOW w AS (PARTITION BY query_id ORDER BY rank, doc_id, pos))
-        SELECT query_id, md5(string_agg(line, chr(10) ORDER BY no)) AS pack FROM u WHERE used <= 90000 OR no = 1 GROUP BY 1"""
-)
+@query(f"WITH {HYBRID_SQL.replace('{top}', '5')}, {_packs_sql('hyb')}")
 def k7_grounding_pack(spark: SparkSession, d: str) -> DataFrame:
-    """The packs under the operator's own limits: 3 hits, 1000 rows a resource, 90,000 characters."""
+    """The packs of the hybrid hits: 3 hits, 1000 rows a resource, 90,000 characters."""
     return se.grounding_pack(hybrid(spark, d, 5), lines_of(spark, d)).select("query_id", F.md5("pack").alias("pack"))
 
 
@@ -131,11 +130,13 @@ def _embed(texts: list[str]) -> list[list[float]]:
 
 
 @query(
-    """SELECT CASE WHEN title = '' THEN 'empty_text' WHEN contains(title, '%%%') THEN 'ValueError: refused' ELSE 'ok' END AS reason, count(*) AS n FROM datasets WHERE CAST(id AS BIGINT) % 3 > 0 GROUP BY 1""",
+    """SELECT CASE WHEN trim(description) = '' THEN 'empty_text' WHEN contains(description, '%%%') OR contains(description, '(19') THEN 'ValueError: refused' ELSE 'ok' END AS reason, count(*) AS n FROM datasets GROUP BY 1""",
     "datasets",
 )
 def k8_embed_changed(spark: SparkSession, d: str) -> DataFrame:
-    rows = datasets(spark, d).where(F.col("id").cast("long") % 3 > 0).select("id", F.col("title").alias("embed_text"), F.when(F.col("title") == "", "empty_text").otherwise("embedded").alias("vector"))
+    """The first run over all datasets and their whole descriptions, counted by outcome."""
+    text = F.col("description")
+    rows = datasets(spark, d).select("id", text.alias("embed_text"), F.when(F.trim(text) == "", "empty_text").otherwise("embedded").alias("vector"))
     good, bad = se.embed_changed(rows, _embed)
     return good.select(F.lit("ok").alias("reason")).unionByName(bad.select("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 

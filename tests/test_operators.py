@@ -225,6 +225,15 @@ def test_model_is_called_once(spark):
     assert (good.count(), bad.count(), calls.value) == (50, 0, 50)
 
 
+def test_grounding_under_small_limits(spark):
+    """Rows past the limit a resource, hits past the top and text past the budget stay out; a first row stays whatever its length."""
+    hits = spark.createDataFrame([(1, 7, 1), (1, 8, 2), (1, 9, 3), (2, 9, 1), (3, 5, 1)], "query_id long, id long, rank int")
+    lines = [(7, 70, i, f"a{i}") for i in range(4)] + [(8, 80, 0, "bbbb"), (8, 81, 0, "c"), (9, 90, 0, "d" * 30)]
+    rows = spark.createDataFrame(lines, "id long, resource_id long, row_no int, text string")
+    got = dict(map(tuple, search.grounding_pack(hits, rows, top=2, per_resource=3, budget=14).collect()))
+    assert got == {1: "a0\na1\na2\nbbbb", 2: "d" * 30}
+
+
 def test_gazetteer_of_many_patterns(spark, monkeypatch):
     """Thousands of patterns in several blocks, overlapping ones, an empty and a null one: as plain search finds."""
     patterns = [(i, f"p{i % 900}", f"L{i % 900}", f"Kw{i}", "canonical" if i % 2 else "alias") for i in range(5000)] + [(9001, "all", "All", "", "alias"), (9002, "none", "None", None, "alias")]
