@@ -8,6 +8,9 @@ import uuid
 import weakref
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,6 +117,20 @@ def discard(*tables: DataFrame) -> None:
 
 #: Rows of an Arrow batch of whole texts, since single ones can be very long.
 TEXT_BATCH = 512
+#: Bytes of text that a Python function works on at once, unless a single text is longer.
+TEXT_BYTES = 8 << 20
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = TEXT_BYTES, rows: int = TEXT_BATCH) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that each holds ``rows`` rows at most and texts of about ``limit`` bytes, or a longer one alone."""
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            to = int(np.searchsorted(size, (size[at - 1] if at else 0) + limit, side="right"))
+            to = min(max(to, at + 1), at + rows)
+            yield batch.slice(at, to - at)
+            at = to
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
