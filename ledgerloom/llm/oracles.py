@@ -1,7 +1,7 @@
 """DuckDB SQL of the queries that SQL can express, over whole tables.
 
-None for packing (a tokenizer), secret spans (SQL gives no match positions), language profiles and the
-pipeline: the tests hold these against plain Python versions.
+None for packing, the two queries of tokenizers, secret spans (SQL gives no match positions), language profiles and
+the pipeline: the tests hold these against plain Python versions.
 """
 
 from __future__ import annotations
@@ -107,6 +107,21 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
   CAST(sum(20 + length({_ESCAPED.format('role')}) + length({_ESCAPED.format('text')})) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id"""
 
+_SPELLING = r"""WITH RECURSIVE crc AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+    runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS k
+      FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{7,}')) AS run FROM documents) GROUP BY 1, 2),
+    hashed AS (SELECT run, k, xor(list_reduce(list_prepend(4294967295, list_transform(range(strlen(id) + 1 + strlen(run)), lambda i: CAST('0x' || substr(hex(encode(id || ':' || run)), 2 * i + 1, 2) AS BIGINT))),
+        lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM runs, crc),
+    v AS (SELECT CASE WHEN h % 31 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, CAST(sum(k) AS BIGINT) AS n FROM hashed GROUP BY 1 HAVING length(word) >= 7 AND sum(k) >= 2),
+    less AS (SELECT word, i, word[:i - 1] || word[i + 1:] AS d FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+    longer AS (SELECT DISTINCT a.word, b.word AS other FROM less a JOIN v b ON a.d = b.word),
+    near AS (SELECT a.word, b.word AS other FROM less a JOIN less b ON a.d = b.d AND a.i = b.i AND a.word <> b.word UNION SELECT word, other FROM longer UNION SELECT other, word FROM longer),
+    best AS (SELECT near.word, count(*) AS n_near, max(o.n) AS m, arg_min(o.word, (-o.n, encode(o.word))) AS other FROM near JOIN v o ON o.word = near.other GROUP BY 1),
+    form AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * v.n THEN other END AS form, CASE WHEN m >= 10 * v.n THEN m END AS form_n FROM v LEFT JOIN best USING (word)),
+    way AS (SELECT word, form, form AS root FROM form WHERE form IS NOT NULL UNION ALL SELECT w.word, w.form, f.form FROM way w JOIN form f ON f.word = w.root WHERE f.form IS NOT NULL),
+    last AS (SELECT word, root FROM way WHERE root NOT IN (SELECT word FROM form WHERE form IS NOT NULL))
+    SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM form LEFT JOIN last USING (word)"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_divergence": _quality(),
     "op3_ngram_jaccard": _JACCARD,
@@ -115,4 +130,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_source_mix": _MIX,
     "op7_license_scan": _LICENSES,
     "op9_chat_format": _CHAT,
+    "op13_spelling_variants": _SPELLING,
 }
