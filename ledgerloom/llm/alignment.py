@@ -7,8 +7,8 @@ fallback) are cut by the lengths of their decoded bytes. ``sentencepiece`` has d
 come as an offset mapping.
 
 A single space between two characters that aren't blank starts a token in both tokenizers. Texts are split there, each
-different segment of a slice of texts is aligned once, many at a time, and documents are put together from segments by
-position. A slice is bounded by bytes and rows.
+different segment of a task's texts is aligned once, many at a time, and documents are put together from segments by
+position. Texts come in slices bounded by bytes and rows, and the table of segments starts anew when it is full.
 
 How many documents hold a pair of ids linked is counted over the whole corpus, combined in each task first. The most
 frequent pairs, HOT_PAIRS at most, are sent to all tasks; rarer ones are joined by pair, and since the frequent ones
@@ -38,8 +38,10 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 from .common import packed, stored, text_slices
 
 MARK = "▁"
-#: Bytes and rows of text whose distinct segments are aligned at once, segments encoded as one text, and segments put together at once.
-SLICE, SLICE_ROWS, JOINED, GATHERED = 12 << 20, 8192, 512, 1 << 18
+#: Segments a task's table holds, besides those of one slice, before it starts anew.
+TABLE = 1 << 18
+#: Bytes and rows of text of a slice, segments encoded as one text, and segments put together at once.
+SLICE, SLICE_ROWS, JOINED, GATHERED = 4 << 20, 4096, 512, 1 << 17
 #: Pairs of ids sent to all tasks: 25 MB. And pairs a task counts before it hands them on.
 HOT_PAIRS = 1 << 20
 COUNTED_PAIRS = 1 << 20
@@ -104,7 +106,7 @@ LOST = Cuts(b"", np.zeros(1, np.int64), np.zeros((1, 4), np.int64), np.zeros(0,
 
 
 class Aligner:
-    """Two tokenizers over the same texts."""
+    """Two tokenizers over the same texts, with a bounded table of the segments that they have cut."""
 
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
@@ -126,6 +128,8 @@ class Aligner:
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
         self.a_width, self.b_width = (np.array([len(x) for x in t]) for t in (self.a_bytes, self.b_bytes))
         self.n_b = len(pieces)
+        self.rows: dict[str, int] = {}  # segments that are aligned, by their row in ``cuts`` and ``groups``
+        self.cuts, self.groups = NO_CUTS, []
 
     @staticmethod
     def _ends(ids: np.ndarray, start: np.ndarray, end: np.ndarray, byte_at: np.ndarray, width: np.ndarray) -> np.ndarray:
@@ -137,22 +141,28 @@ class Aligner:
         base = np.where(last >= 0, byte_at[end[last]] - done[last], 0)
         return np.where(clean, byte_at[end], base + done)
 
+    def _spans_a(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        got = self.a.encode(text, add_special_tokens=False)
+        return np.array(got.ids, np.int64), np.fromiter(chain.from_iterable(got.offsets), np.int64)
+
+    def _spans_b(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        got = self.b.encode(text[1:], return_type="offset_mapping")
+        return np.array(got["ids"], np.int64), np.fromiter(chain.from_iterable(got["offsets"]), np.int64)
+
     def _cut(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
         """Ids of A and the bytes where they end, and the same of B, of texts that begin with a space, laid end to end; None if bytes differ."""
         whole = "".join(texts)
         points = np.frombuffer(whole.encode("utf-32-le"), "<u4")
         byte_at = np.concatenate(([0], np.cumsum(1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000))))
         base = np.concatenate(([0], np.cumsum([len(x) for x in texts])))
-        got_a = [(x.ids, x.offsets) for x in self.a.encode_batch(texts, add_special_tokens=False)]
-        got_b = [(x["ids"], x["offsets"]) for x in self.b.encode([x[1:] for x in texts], return_type="offset_mapping", num_threads=1)]
         out: list[np.ndarray] = []
-        for got, tokens, width, shift in ((got_a, self.a_bytes, self.a_width, 0), (got_b, self.b_bytes, self.b_width, 1)):
+        for spans_of, tokens, width, shift in ((self._spans_a, self.a_bytes, self.a_width, 0), (self._spans_b, self.b_bytes, self.b_width, 1)):
+            got = [spans_of(x) for x in texts]  # arrays, since the libraries' objects of all texts are large
             n = [len(x[0]) for x in got]
             if not all(n):
                 return None
-            ids = np.fromiter(chain.from_iterable(x[0] for x in got), np.int64, sum(n))
-            spans = chain.from_iterable(chain.from_iterable(x[1] for x in got))
-            span = np.fromiter(spans, np.int64, 2 * len(ids)).reshape(-1, 2) + np.repeat(base[:-1], n)[:, None] + shift
+            ids = np.concatenate([x[0] for x in got])
+            span = np.concatenate([x[1] for x in got]).reshape(-1, 2) + np.repeat(base[:-1], n)[:, None] + shift
             span[np.cumsum(n) - n, 0] = base[:-1]  # the added space is the first token's
             if b"".join([tokens[i] for i in ids.tolist()]) != whole.encode():
                 return None
@@ -186,29 +196,41 @@ class Aligner:
         at = np.array([np.concatenate(([0], np.searchsorted(x, stop, side="right"))) for x in (a_end, b_end, both, every)])
         return Cuts(text, np.diff(written[at[0] + at[1]]), np.diff(at).T, links)
 
-    def aligned(self, segs: list[str]) -> tuple[Cuts, np.ndarray]:
-        """The segments aligned, those that others can stand beside first, and the place of each."""
+    def _aligned(self, segs: list[str]) -> tuple[Cuts, list[int]]:
+        """The segments aligned, those that others can stand beside first, and which ones they are."""
         plain = [i for i, x in enumerate(segs) if x and MARK not in x and not x[0].isspace() and not x[-1].isspace()]
         parts = [plain[k : k + JOINED] for k in range(0, len(plain), JOINED)]
         sizes = [1 + len(segs[i].encode()) for i in plain]
         found = self._align(["".join([" " + segs[i] for i in p]) for p in parts], sizes) if plain else NO_CUTS
         if found is None:
             plain, found = [], NO_CUTS
-        place = np.full(len(segs), -1)
-        place[plain] = np.arange(len(plain))
-        odd = np.flatnonzero(place < 0).tolist()
-        place[odd] = np.arange(len(plain), len(segs))
+        others = np.ones(len(segs), bool)
+        others[plain] = False
+        odd = np.flatnonzero(others).tolist()
         alone = (None if MARK in segs[i] else self._align([" " + segs[i]], [1 + len(segs[i].encode())]) for i in odd)
-        return Cuts.joined([found, *[x or LOST for x in alone]]), place
+        return Cuts.joined([found, *[x or LOST for x in alone]]), plain + odd
+
+    def rows_of(self, segs: list[str]) -> np.ndarray:
+        """Row of each segment in the table, which takes in those that it lacks."""
+        if len(self.rows) > TABLE:
+            self.rows, self.cuts, self.groups = {}, NO_CUTS, []
+        new = [x for x in segs if x not in self.rows]
+        if new:
+            cuts, order = self._aligned(new)
+            ends = np.cumsum(cuts.sizes).tolist()
+            self.rows.update((new[i], len(self.groups) + k) for k, i in enumerate(order))
+            self.groups += [cuts.text[i:j] for i, j in zip([0, *ends], ends)]
+            cuts.text = b""
+            self.cuts = Cuts.joined([self.cuts, cuts])
+        return np.array([self.rows[x] for x in segs], np.int64)
 
     def documents(self, texts: pa.Array) -> tuple[list[bytes], np.ndarray, pa.Array, pa.Array]:
         """Of each text: groups, (n_a, n_b, n_groups, n_links), its distinct linked pairs and how often it has each."""
         segs, codes, n = segments(texts)
-        cuts, place = self.aligned(segs)
-        begin = np.cumsum(cuts.sizes) - cuts.sizes
-        pieces = [cuts.text[i:j] for i, j in zip(begin.tolist(), (begin + cuts.sizes).tolist(), strict=True)]
+        codes = self.rows_of(segs)[codes] if segs else codes
+        cuts, pieces = self.cuts, self.groups
         first = np.cumsum(cuts.counts[:, 3]) - cuts.counts[:, 3]
-        codes, end, to = place[codes], np.concatenate(([0], np.cumsum(n))), 0
+        end, to = np.concatenate(([0], np.cumsum(n))), 0
         groups: list[bytes] = []
         out: list[tuple] = []
         while to < len(n):
@@ -320,6 +342,6 @@ def align(docs: DataFrame, a_path: str, b_path: str, hot_pairs: int = HOT_PAIRS)
 
     size = sentencepiece.SentencePieceProcessor(model_file=b_path).get_piece_size()
     grouped = token_groups(docs, a_path, b_path).withColumn("row_id", F.monotonically_increasing_id())
-    grouped = stored(grouped.select("row_id", "doc", *COUNTS, "groups_sha256", "pairs", "times"), "align-groups")
+    grouped = stored(grouped.select("row_id", "doc", *COUNTS, "groups_sha256", "pairs", "times"), "align-groups", SLICE_ROWS)
     counts = stored(pair_counts(grouped, size), "align-pairs")
     return link_scores(grouped, counts, hot_pairs).drop("row_id")
