@@ -33,7 +33,7 @@ COMMON = "etaoinsrhldcumfpgwybvkxjqz"
 #: One occurrence in so many, by its hash, loses a letter.
 SLIP = 31
 #: Partitions of the dimensions, words up to which a signature is expanded into pairs, and signatures up to which a broadcast is tried.
-PARTS, GROUP, FEW = 6, 32, 200_000
+PARTS, GROUP, FEW = 5, 64, 200_000
 #: Doublings that end any chain: each step multiplies the frequency by FACTOR, and counts are below 10 ** 19.
 MAX_ROUNDS = 6
 
@@ -62,9 +62,9 @@ def partition_hashes(word: Column, parts: int = PARTS) -> Column:
 
 
 def signatures(words: DataFrame, parts: int = PARTS) -> DataFrame:
-    """(key, word, n): one row for every choice of all partitions but two, of words (word, n, h) with their partition hashes."""
+    """(key, word): one row for every choice of all partitions but two, of words (word, h) with their partition hashes."""
     sigs = [F.xxhash64(F.lit(a * parts + b), *[F.col("h")[i] for i in range(parts) if i not in (a, b)]) for a, b in combinations(range(parts), 2)]
-    return words.select(F.explode(F.array(*sigs)).alias("key"), "word", "n")
+    return words.select(F.explode(F.array(*sigs)).alias("key"), "word")
 
 
 def ends_of(word: Column) -> Column:
@@ -80,20 +80,23 @@ def less_one(word: Column) -> Column:
 
 def _pairs(rows: DataFrame) -> DataFrame:
     """Pairs of different words with equal keys whose edit distance is one, the smaller word first."""
-    a, b = (rows.select("key", F.col("word").alias(f"word_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
+    a, b = (rows.select("key", F.col("word").alias(f"word_{x}")) for x in "ab")
     return a.join(b, "key").where("word_a < word_b").where(F.levenshtein("word_a", "word_b", 1) == 1).drop("key")
 
 
 def near_words(words: DataFrame, parts: int = PARTS, group: int = GROUP) -> DataFrame:
     """(word_a, n_a, word_b, n_b), each pair of near words of ``words`` (word of six letters or more, n) once."""
-    rows = signatures(stored(words.withColumn("h", partition_hashes(F.col("word"), parts)), "spell-hashes"), parts)
+    rows = signatures(stored(words.select("word", partition_hashes(F.col("word"), parts).alias("h")), "spell-hashes"), parts)
     found = []
     for finer in (ends_of, less_one):
         full = stored(rows.groupBy("key").agg(F.count("*").alias("k")).where(F.col("k") > group).select("key"), "spell-full")
         hint = broadcast_if_small(full, FEW)
         found.append(_pairs(rows.join(hint, "key", "left_anti")))
-        rows = rows.join(hint, "key", "left_semi").select(F.explode(finer(F.col("word"))).alias("x"), "key", "word", "n").select(F.xxhash64("key", "x").alias("key"), "word", "n")
-    return reduce(DataFrame.unionByName, [*found, _pairs(rows)]).distinct()
+        rows = rows.join(hint, "key", "left_semi").select(F.explode(finer(F.col("word"))).alias("x"), "key", "word").select(F.xxhash64("key", "x").alias("key"), "word")
+    pairs = reduce(DataFrame.unionByName, [*found, _pairs(rows)]).distinct()
+    for x in "ab":
+        pairs = pairs.join(words.select(F.col("word").alias(f"word_{x}"), F.col("n").alias(f"n_{x}")), f"word_{x}")
+    return pairs
 
 
 def roots(forms: DataFrame) -> DataFrame:
