@@ -101,7 +101,7 @@ def stored(df: DataFrame, label: str, batch_rows: int | None = None) -> DataFram
     return out
 
 
-def packed(docs: DataFrame, *apart: str) -> DataFrame:
+def packed(docs: DataFrame, *apart: str | Column) -> DataFrame:
     """``docs`` as one column ``doc`` beside the columns ``apart``, so that no name of its own clashes with an operator's; doc.* gives it back."""
     return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"), *apart)
 

@@ -1,7 +1,8 @@
 """Mixing sources to target weights by hash-threshold histograms.
 
-Sources share a budget by weight, none beyond MAX_REPEATS times its size. Each document has a uniform
-60-bit hash. A source takes every document ``floor(target / size)`` times, and once more those whose
+Sources share a budget by weight, none beyond MAX_REPEATS times its size. Each row has a uniform 60-bit
+hash: 36 bits of its doc_id, then 12 of its text and 12 of its place in the table, which tell rows apart that share
+an id or have none. A source takes every document ``floor(target / size)`` times, and once more those whose
 hash lies below the source's threshold. The threshold comes from sums of words by hash bucket: whole
 buckets below the boundary are taken, and only the boundary bucket is split into finer buckets, level
 by level, until it holds one hash. Nothing is sorted, and each pass sends at most BUCKETS rows per
@@ -9,7 +10,8 @@ source and task.
 
 Defined results: a null text has size 0; sources go by code point with null last and null is a source
 of its own; an empty table gives an empty result; a source without words takes nothing; rows with the
-same doc_id (null too) share a hash and are taken or left together. Same input, same result.
+same doc_id (null too) are rows of their own, so a source's sum comes near its target whatever its ids. Same
+input, same result; only which of the rows alike in id and text are taken, never how many, hangs on how files are split.
 """
 
 from __future__ import annotations
@@ -23,14 +25,16 @@ from .common import broadcast_if_small, n_words_of, packed, stored
 
 WEIGHTS = (3, 1, 2)
 SHARE, MAX_REPEATS = 1.5, 2
-#: A hash has 15 hex digits, and a level reads 3 of them.
-DIGITS, PER_LEVEL = 15, 3
+#: A hash has 15 hex digits, 9 of them from the id, and a level reads 3 of them.
+DIGITS, ID_DIGITS, PER_LEVEL = 15, 9, 3
 BUCKETS = 16**PER_LEVEL
 
 
-def hash60(doc_id: Column) -> Column:
-    """Uniform 60 bits of md5, the same in any engine."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, DIGITS), 16, 10).cast("long")
+def hash60(doc_id: Column, text: Column) -> Column:
+    """Uniform 60 bits: of md5 of the id, the same in any engine, then of the text and of the row's place."""
+    of_id = F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, ID_DIGITS), 16, 10).cast("long")
+    of_row = F.pmod(F.xxhash64(text), F.lit(BUCKETS)) * BUCKETS + F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(BUCKETS))
+    return F.shiftleft(of_id, 4 * (DIGITS - ID_DIGITS)) + of_row
 
 
 def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: float = MAX_REPEATS) -> DataFrame:
@@ -96,7 +100,7 @@ def thresholds(hashed: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: float = MAX_REPEATS) -> DataFrame:
     """(doc_id, size, source_size, target, taken, times, h, source): a row per document, ``times`` it is to be repeated."""
-    hashed = stored(docs.select("doc_id", "source", n_words_of(F.col("text")).alias("size"), hash60(F.col("doc_id")).alias("h")), "mix")
+    hashed = stored(docs.select("doc_id", "source", n_words_of(F.col("text")).alias("size"), hash60(F.col("doc_id"), F.col("text")).alias("h")), "mix")
     goal = stored(targets(hashed, weights, share, cap), "mix-targets")
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     goal = goal.withColumn("full", full.cast("long")).withColumn("rest", F.col("target") - F.col("full") * F.col("source_size"))
@@ -114,6 +118,7 @@ def take_mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = S
     )
     # per source: everything lo times, and hi times up to the largest hash that is taken so often
     plan = stored(plan.select(F.col("source").alias("__s"), F.col("lo").alias("__lo"), F.col("hi").alias("__hi"), F.col("x.h").alias("__h")), "mix-take")
-    at = packed(docs, "doc_id", "source").join(broadcast_if_small(plan, 100_000), F.col("source").eqNullSafe(F.col("__s")))
-    times = F.when(hash60(F.col("doc_id")) <= F.col("__h"), F.col("__hi")).otherwise(F.col("__lo"))
+    at = packed(docs, "source", hash60(F.col("doc_id"), F.col("text")).alias("__own"))
+    at = at.join(broadcast_if_small(plan, 100_000), F.col("source").eqNullSafe(F.col("__s")))
+    times = F.when(F.col("__own") <= F.col("__h"), F.col("__hi")).otherwise(F.col("__lo"))
     return at.select("doc", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select("doc.*")

@@ -5,13 +5,17 @@ projections, shifted and quantised to WIDTH. Vectors that share a bucket and a l
 exactly, in double precision. At the threshold (cosine 0.93, distance 0.374) one projection agrees with
 probability 0.80, so a pair is met with probability 1 - (1 - 0.80**6)**18 = 0.996, and at 0.95 with 0.9993.
 
-Exact copies are one vector with a count. A large bucket is split into blocks, and pairs of blocks are
-compared as matrices, so no task holds more than two blocks. Pairs are never rows: a comparison sends
-each vector's number of new links and, per connected part, one edge a vector. A pair counts in the first
-table where it meets.
+Exact copies are one vector with a count, named by a number of its own, so that ids may be repeated, null or of any
+type that has an order. A large bucket is split into blocks, and pairs of blocks are compared as matrices, so no task
+holds more than two blocks. Pairs are never rows: a comparison sends each vector's number of new links and, per
+connected part, one edge a vector. A pair counts in the first table where it meets; in later tables the many
+vectors of a bucket that shared a bucket of the first one stand in blocks of their own, which aren't met with each other
+again, so a dense core is compared once and not in every table.
 
 Defined results: null, zero, or partly null or non-finite vectors and null labels link with nothing,
-nor do vectors of different length; repeated rows are copies and link; an empty table gives no rows.
+nor do vectors of different length; repeated rows are copies and link, also under one id: n_links counts rows. The
+smallest id that isn't null names a component; where all are null it is null. A row is kept if its id is that
+name, so rows that repeat it are all kept; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -84,12 +88,43 @@ def _compare(table: int, ids: np.ndarray, x: np.ndarray, cnt: np.ndarray, b: np.
     return ids[some], add[some], ids[some], ids[low[some]]
 
 
+def _blocks(reps: DataFrame) -> DataFrame:
+    """(rid, t, key, p, q, side): each vector of reps (rid, lab, x, b) in every pair of blocks of its buckets that are to be compared.
+
+    Of a bucket with more than BLOCK vectors those that shared a bucket of the first table (their home) are in blocks
+    of their own if they are many, and such blocks of one home don't meet in later tables.
+    """
+    own = F.xxhash64("lab", F.length("x"))
+    keys = reps.select("rid", own.alias("own"), F.xxhash64(own, F.lit(0), F.col("b")[0]).alias("home"), F.posexplode("b").alias("t", "bucket"))
+    keys = keys.select("rid", "t", F.xxhash64("own", "t", "bucket").alias("key"), "home")
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("key", "k")
+    met = keys.join(sizes, F.col("key") == F.col("k")).drop("k")
+    small = met.where(F.col("n") <= BLOCK).select("rid", "t", "key", F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("q"), F.lit(2).alias("side"))
+    large = met.where(F.col("n") > BLOCK)
+    homes = large.groupBy("key", "home").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK).select(F.col("key").alias("k"), F.col("home").alias("hm"), "m")
+    large = large.join(homes, (F.col("key") == F.col("k")) & (F.col("home") == F.col("hm")), "left")
+    alone = F.xxhash64("home", F.pmod(F.xxhash64("rid"), F.ceil(F.col("m") / BLOCK)))
+    label = F.when(F.col("m").isNull(), F.pmod(F.xxhash64("home"), F.ceil(F.col("n") / BLOCK))).otherwise(alone)
+    large = large.select("rid", "t", "key", label.cast("long").alias("label"), F.col("hm").alias("core"))
+    # blocks are few: one for BLOCK vectors or so
+    labels = large.select("key", "t", "label", "core").distinct()
+    a, b = (labels.select(F.col("key").alias(f"k{x}"), F.col("t").alias(f"t{x}"), F.col("label").alias(f"l{x}"), F.col("core").alias(f"c{x}")) for x in "ab")
+    again = (F.col("ta") > 0) & F.coalesce(F.col("ca") == F.col("cb"), F.lit(False))
+    pairs = a.join(b, (F.col("ka") == F.col("kb")) & (F.col("la") <= F.col("lb"))).where(~again).select("ka", "la", "lb")
+    one = pairs.where("la = lb").select("ka", F.col("la").alias("l"), "la", "lb", F.lit(2).alias("side"))
+    two = pairs.where("la < lb").select("ka", F.explode(F.array(F.struct(F.col("la").alias("l"), F.lit(0).alias("side")), F.struct(F.col("lb").alias("l"), F.lit(1).alias("side")))).alias("x"), "la", "lb")
+    pairs = one.unionByName(two.select("ka", "x.l", "la", "lb", "x.side"))
+    large = large.join(pairs, (F.col("key") == F.col("ka")) & (F.col("label") == F.col("l")))
+    return small.unionByName(large.select("rid", "t", "key", F.col("la").alias("p"), F.col("lb").alias("q"), "side"))
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(vec_id, n_links, component_id, kept), a row per row of ``vectors`` (vec_id, embedding, label)."""
     rows = vectors.select("vec_id", "embedding", "label", usable().alias("ok"))
     same = [F.xxhash64("embedding").alias("h1"), F.hash("embedding").alias("h2"), F.col("label").cast("string").alias("lab")]
     rows = stored(rows.select("vec_id", "ok", *same, F.when(F.col("ok"), F.col("embedding").cast("array<double>")).alias("e")), "vec")
-    reps = rows.where("ok").groupBy("h1", "h2", "lab").agg(F.min("vec_id").alias("rid"), F.count("*").alias("cnt"), F.first("e").alias("e"))
+    reps = rows.where("ok").groupBy("h1", "h2", "lab").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("cnt"), F.first("e").alias("e"))
+    reps = reps.select("h1", "h2", "lab", "first_id", "cnt", "e")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,19 +134,16 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
                 x /= np.abs(x).max(axis=1, keepdims=True)  # so that squares neither overflow nor vanish
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 part = part.assign(x=[v.tobytes() for v in x], b=list(buckets(x)))
-                yield pa.RecordBatch.from_pandas(part[["h1", "h2", "lab", "rid", "cnt", "x", "b"]], preserve_index=False)
-
-    reps = stored(reps.mapInArrow(hashed, "h1 long, h2 int, lab string, rid long, cnt long, x binary, b array<long>"), "vec-reps", VECTOR_BATCH)
-    keys = reps.select("rid", F.posexplode("b").alias("t", "bucket"), F.xxhash64("lab", F.length("x")).alias("own"))
-    keys = keys.select("rid", "t", F.xxhash64("own", "t", "bucket").alias("key"))
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("key", "k")
-    met = keys.join(sizes, F.col("key") == F.col("k"))
-    n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    met = met.withColumn("nb", n_blocks).withColumn("block", F.pmod(F.xxhash64("rid"), "nb").cast("int"))
-    # a vector of block k meets every block: as the first of a pair where k is smaller, else as the second
-    pairs = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    pairs = pairs.select("rid", "t", "key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), F.when(F.col("block") == F.col("other"), 2).otherwise((F.col("block") > F.col("other")).cast("int")).alias("side"))
-    full = pairs.withColumnRenamed("rid", "r").join(reps.select("rid", "cnt", "x", "b"), F.col("r") == F.col("rid")).drop("r")
+                yield pa.RecordBatch.from_arrays([pa.array(part[c], kind) for c, kind in kinds], [c for c, _ in kinds])
+
+    kinds = [("h1", pa.int64()), ("h2", pa.int32()), ("lab", pa.string()), ("place", pa.int64()), ("cnt", pa.int64()), ("x", pa.binary()), ("b", pa.list_(pa.int64()))]
+    # the number of a distinct vector is its place in the stored table
+    reps = stored(reps, "vec-distinct").withColumn("place", F.monotonically_increasing_id())
+    reps = stored(reps, "vec-numbered")
+    names = reps.select(F.col("place").alias("rid"), "first_id", "h1", "h2", "lab", "cnt")
+    reps = reps.select("h1", "h2", "lab", "place", "cnt", "e").mapInArrow(hashed, "h1 long, h2 int, lab string, place long, cnt long, x binary, b array<long>")
+    reps = stored(reps.withColumnRenamed("place", "rid").drop("h1", "h2"), "vec-reps", VECTOR_BATCH)
+    full = _blocks(reps).withColumnRenamed("rid", "r").join(reps.select("rid", "cnt", "x", "b"), F.col("r") == F.col("rid")).drop("r")
     full = full.select("key", "p", "q", "t", "side", "rid", "cnt", "x", "b")
     full = full.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
 
@@ -121,8 +153,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
             if len(p):
                 x, b = np.stack([np.frombuffer(v) for v in p["x"]]) if p["x"].map(len).nunique() == 1 else None, np.stack(p["b"].to_numpy())
                 ids, cnt, side, t = (p[c].to_numpy() for c in ("rid", "cnt", "side", "t"))
-                k, pq = p["key"].to_numpy(), p["p"].to_numpy().astype(np.int64) * 2**31 + p["q"].to_numpy()
-                cut = np.flatnonzero((k[1:] != k[:-1]) | (pq[1:] != pq[:-1])) + 1
+                k = p[["key", "p", "q"]].to_numpy()
+                cut = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
                 for lo, hi in zip([0, *cut], [*cut, len(p)], strict=True):
                     if hi - lo > 1:
                         xs = x[lo:hi] if x is not None else np.stack([np.frombuffer(v) for v in p["x"].iloc[lo:hi]])
@@ -146,9 +178,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     found = stored(full.mapInArrow(links, "rid long, add long, low long"), "vec-links", VECTOR_BATCH)
     counts = found.groupBy("rid").agg(F.sum("add").alias("links"))
     parts = connected_components(found.select(F.col("rid").alias("a"), F.col("low").alias("b")))
-    one = reps.select("h1", "h2", "lab", "rid", "cnt").join(counts, "rid", "left").join(parts.withColumnRenamed("node", "rid"), "rid", "left")
-    one = one.select("h1", "h2", F.col("lab").alias("l2"), (F.coalesce("links", F.lit(0)) + F.col("cnt") - 1).alias("n_links"), F.coalesce("component", "rid").alias("c"))
+    one = names.join(counts, "rid", "left").join(parts.withColumnRenamed("node", "rid"), "rid", "left").withColumn("c", F.coalesce("component", "rid"))
+    first = one.groupBy("c").agg(F.min("first_id").alias("component_id"))
+    one = one.join(first, "c").select("h1", "h2", F.col("lab").alias("l2"), (F.coalesce("links", F.lit(0)) + F.col("cnt") - 1).alias("n_links"), "component_id")
     out = rows.drop("e").withColumnRenamed("h1", "a1").withColumnRenamed("h2", "a2")
     out = out.join(one, (F.col("a1") == F.col("h1")) & (F.col("a2") == F.col("h2")) & (F.col("lab") == F.col("l2")) & F.col("ok"), "left")
-    component = F.coalesce("c", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    component = F.coalesce("component_id", "vec_id")
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

@@ -205,6 +205,48 @@ def test_vectors(spark):
     assert all(got[k] == (0, k, True) for k in (901, 902, 903, 904, 905))
 
 
+@pytest.mark.parametrize("block", [512, 4])
+def test_vectors_under_repeated_ids(spark, monkeypatch, block):
+    """Ids that are repeated, null or strings, copies under several ids, columns whose names clash; close pairs, so that all are met."""
+    monkeypatch.setattr(vectors, "BLOCK", block)
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.normal(size=(9, 12)), 7, axis=0) + rng.normal(size=(63, 12)) * 0.004
+    x[5] = x[4]
+    ids = [None if i % 9 == 3 else f"v{i % 11}" for i in range(63)]
+    ids[42:49] = [None] * 7
+    rows = [(ids[i], v.tolist(), f"l{i // 7 % 2}", 1, 2, "z") for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id string, embedding array<double>, label string, rid int, n_links int, `h1.x` string").repartition(3)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    lab = np.array([r[2] for r in rows])
+    link = (unit @ unit.T >= 0.93) & (lab[:, None] == lab[None])
+    np.fill_diagonal(link, False)
+    comp = np.arange(63)
+    for _ in range(63):
+        comp = np.minimum(comp, np.where(link, comp[None], 99).min(axis=1))
+    name = {c: min((ids[i] for i in range(63) if comp[i] == c and ids[i] is not None), default=None) for c in comp}
+    want = [(ids[i], int(link[i].sum()), name[comp[i]], ids[i] == name[comp[i]]) for i in range(63)]
+    want = [(i, n, i if c is None else c, i == (i if c is None else c)) for i, n, c, _ in want]
+    got = [tuple(r) for r in vectors.near_duplicates(df).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    same = spark.createDataFrame([(1, [1.0, 0.01], 0), (1, [1.0, 0.0], 0), (2, [1.0, 0.02], 0), (3, [1.0, 0.03], 0), (None, [1.0, 0.04], 0)], "vec_id int, embedding array<double>, label int")
+    assert sorted(map(repr, map(tuple, vectors.near_duplicates(same).collect()))) == sorted(map(repr, [(1, 4, 1, True), (1, 4, 1, True), (2, 4, 1, False), (3, 4, 1, False), (None, 4, 1, False)]))
+    assert vectors.near_duplicates(same.limit(0)).count() == 0
+
+
+def test_dense_core_is_compared_once(spark, monkeypatch):
+    """In tables after the first, blocks of one home don't meet: fewer rows are sent, and no link is lost."""
+    monkeypatch.setattr(vectors, "BLOCK", 32)
+    rng = np.random.default_rng(6)
+    v = np.ones((400, 8)) + rng.normal(size=(400, 8)) * 0.005
+    df = spark.createDataFrame([(i, r.tolist(), 1) for i, r in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    got = vectors.near_duplicates(df).agg(F.min("n_links"), F.max("n_links"), F.count_distinct("component_id")).first()
+    assert tuple(got) == (399, 399, 1)
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    reps = spark.createDataFrame([(i, "1", unit[i].tobytes(), b.tolist()) for i, b in enumerate(vectors.buckets(unit))], "rid long, lab string, x binary, b array<bigint>")
+    sent = {r["t"]: r["count"] for r in vectors._blocks(reps).groupBy("t").count().collect()}
+    assert sum(n for t, n in sent.items() if t) / (vectors.TABLES - 1) < sent[0] / 2
+
+
 def test_vector_buckets_in_blocks(spark):
     """A bucket of many blocks: counts stay exact."""
     rng = np.random.default_rng(2)
@@ -262,6 +304,19 @@ def test_mix(spark, docs):
     assert mixing.mix(docs).count() == len(TEXTS) + 1 and mixing.mix(docs.limit(0)).count() == 0 and mixing.take_mix(docs).columns == docs.columns
 
 
+def test_mix_of_shared_ids(spark):
+    """Sums come near the targets where a source's rows have no ids, share one or repeat each other, and both ways of taking agree."""
+    text = "one two three four five "
+    rows = [(None, text * 20, "b")] * 200 + [(7, text * (1 + i % 40), "c") for i in range(200)] + [(i // 50, text * 20, "a") for i in range(200)] + [(i, text * 20, None) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    df.write.mode("overwrite").parquet(path := f"{common.shared_dir(spark)}/mix-shared-ids")
+    df = spark.read.parquet(path)
+    got = mixing.mix(df).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max("times").alias("most")).collect()
+    assert len(got) == 4 and all(abs(r["taken"] - r["target"]) <= 200 and r["most"] <= 2 for r in got)
+    words = {r["source"]: r["n"] for r in mixing.take_mix(df).groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " "))).alias("n")).collect()}
+    assert words == {r["source"]: r["taken"] for r in got if r["taken"]}
+
+
 def test_mix_targets_by_steps(spark):
     """The closed form of the targets equals resharing step by step; null is a source and goes last."""
     rng = np.random.default_rng(8)
