@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import measures as m
-from ..operators import catalog, changes, keyword_index
+from ..operators import catalog, changes, keyword_index, vector_index
 from ..operators import search as se
 from .base import NOW, datasets, query, scratch, stored, t
 from .catalogue import organizations, translations
@@ -88,13 +88,13 @@ def k1_index(spark: SparkSession, d: str) -> DataFrame:
     return both[0].unionByName(both[1])
 
 
-VEC_SQL = """vq AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 50 = 0), vs AS (SELECT query_id, vec_id AS id, list_cosine_similarity(CAST(e AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS score FROM vq, embeddings),
+VEC_SQL = """vq AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0), vs AS (SELECT query_id, vec_id AS id, list_cosine_similarity(CAST(e AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS score FROM vq, embeddings),
     vec AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM vs QUALIFY rank <= 50)"""
 
 
 def vector(spark: SparkSession, d: str) -> DataFrame:
     e = t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return se.vector_search(e.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector"), e, 50)
+    return se.vector_search(e.where("id % 100 = 0").select(F.col("id").alias("query_id"), "vector"), e, 50)
 
 
 @query(f"WITH {VEC_SQL} SELECT query_id, id, rank, round(score, 5) AS score FROM vec")
@@ -102,14 +102,28 @@ def k2_vector(spark: SparkSession, d: str) -> DataFrame:
     return vector(spark, d).select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 5).alias("score"))
 
 
+@query(f"WITH {VEC_SQL} SELECT CAST(query_id AS VARCHAR) AS query_id, 'v' || id AS id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, 'v' || id) AS rank, round(score, 5) AS score FROM vs QUALIFY rank <= 50")
+def k2_index(spark: SparkSession, d: str) -> DataFrame:
+    """The same searches over a lasting index under string ids, after a run that replaced the vectors of label 1, added those of label 2 and purged the copies of label 3's."""
+    e = t(spark, d, "embeddings").select(F.concat(F.lit("v"), "vec_id").alias("id"), F.col("embedding").alias("vector"), "vec_id", "label")
+    label = F.coalesce("label", F.lit(0))
+    old = e.where(label != 2).select("id", F.when(label == 1, F.reverse("vector")).otherwise(F.col("vector")).alias("vector"))
+    ghosts = e.where(label == 3).select(F.concat(F.lit("ghost"), "id").alias("id"), "vector")
+    path = scratch(spark, "vector-index")
+    vector_index.build(old.unionByName(ghosts), path, 0)
+    vector_index.update(path, 1, e.where(label.isin(1, 2)).select("id", "vector"), ghosts.select("id"))
+    hits = vector_index.search(spark, path, e.where("vec_id % 100 = 0").select(F.col("vec_id").cast("string").alias("query_id"), "vector"), 50)[0]
+    return hits.select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 5).alias("score"))
+
+
 HYBRID_SQL = f"""{BM25_SQL}, {VEC_SQL}, fused AS (SELECT query_id, id, coalesce(1.0 / (60 + k.rank), 0) + coalesce(1.0 / (60 + v.rank), 0) AS score,
-    CASE WHEN k.rank IS NULL THEN 'semantic' WHEN v.rank IS NULL THEN 'keyword' ELSE 'hybrid' END AS kind FROM (SELECT query_id * 50 AS query_id, id, rank FROM kw) k FULL JOIN vec v USING (query_id, id)),
+    CASE WHEN k.rank IS NULL THEN 'semantic' WHEN v.rank IS NULL THEN 'keyword' ELSE 'hybrid' END AS kind FROM (SELECT query_id * 100 AS query_id, id, rank FROM kw) k FULL JOIN vec v USING (query_id, id)),
     hyb AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, id) AS rank FROM fused QUALIFY rank <= {{top}})"""
 
 
 def hybrid(spark: SparkSession, d: str, top: int) -> DataFrame:
-    """Keyword query i and vector query 50 i are taken as one search."""
-    k = keyword(spark, d).withColumn("query_id", F.col("query_id") * 50)
+    """Keyword query i and vector query 100 i are taken as one search."""
+    k = keyword(spark, d).withColumn("query_id", F.col("query_id") * 100)
     fused = se.fuse(k, vector(spark, d), 100)
     return se.ranked(fused.select("query_id", "id", F.round("score", 12).alias("score"), "kind"), top)
 
@@ -251,13 +265,13 @@ def e19_embedding_text(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH {VEC_SQL}, x AS (SELECT q.vec_id AS query_id, CASE WHEN q.label % 2 = 0 THEN 'bg' ELSE 'en' END AS lang, CASE WHEN count(e.vec_id) > 0 THEN 1 ELSE 0 END AS hit FROM embeddings q
-        LEFT JOIN (SELECT query_id, id FROM vec WHERE rank BETWEEN 2 AND 5) v ON v.query_id = q.vec_id LEFT JOIN embeddings e ON e.vec_id = v.id AND e.label = q.label WHERE q.vec_id % 50 = 0 GROUP BY q.vec_id, q.label)
+        LEFT JOIN (SELECT query_id, id FROM vec WHERE rank BETWEEN 2 AND 5) v ON v.query_id = q.vec_id LEFT JOIN embeddings e ON e.vec_id = v.id AND e.label = q.label WHERE q.vec_id % 100 = 0 GROUP BY q.vec_id, q.label)
         SELECT lang, count(*) AS queries, CAST(sum(hit) AS BIGINT) AS hits, round(avg(hit), 4) AS recall FROM x GROUP BY 1"""
 )
 def e20_recall(spark: SparkSession, d: str) -> DataFrame:
     """Vectors of the query's label are expected among the first five; the query itself doesn't count."""
     e = t(spark, d, "embeddings")
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label")
     hits = vector(spark, d)
     # of the hits' pairs those with one label; a label's ids are never listed as a whole
     same = hits.select("query_id", "id").join(q, "query_id").join(e.select(F.col("vec_id").alias("id"), F.col("label").alias("own")), "id")
