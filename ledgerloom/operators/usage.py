@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -175,19 +174,17 @@ def rate_limit(requests: DataFrame, rate: float) -> DataFrame:
     return at.repartition("key").sortWithinPartitions("key", "sec", "id").mapInArrow(run, "key string, id long, ok boolean, retry_after long")
 
 
-def limiter_state(rate: float):
-    """The same replay for a stream: a function for applyInPandasWithState with state (tokens double, at double).
+def trailing_requests(requests: DataFrame, seconds: int = 86_400, stretch: int = 7) -> DataFrame:
+    """requests (key, id, ts) with ``used``: the key's requests in the ``seconds`` before each one, that moment included.
 
-    A key's rows of one micro-batch may come in many frames, in any order, so they are put in order of time
-    first. A task holds the times and ids of one key's rows of one micro-batch, which the source's rate bounds.
+    Of requests at the same time those with smaller ids come before. Time is cut into stretches of ``stretch`` windows,
+    and a stretch also takes in the last window of the one before it, so a key with very many requests is many tasks' work.
     """
-
-    def run(key, frames, state):
-        tokens, at = state.get if state.exists else (None, None)
-        bucket = Bucket(rate, tokens, at)
-        rows = pd.concat([p[["sec", "id"]] for p in frames], ignore_index=True).sort_values(["sec", "id"])
-        got = [bucket.take(x) for x in rows["sec"]]
-        yield pd.DataFrame({"key": [key[0]] * len(rows), "id": rows["id"].to_numpy(), "ok": [g[0] for g in got], "retry_after": [g[1] for g in got]})
-        state.update((float(bucket.tokens), float(bucket.at if bucket.at is not None else 0.0)))
-
-    return run
+    window, length = seconds * 1_000_000, stretch * seconds * 1_000_000
+    at = requests.select("key", "id", F.unix_micros("ts").alias("at")).withColumn("own", F.floor(F.col("at") / length))
+    again = F.when(F.col("at") >= (F.col("own") + 1) * length - window, F.col("own") + 1)
+    rows = at.withColumn("part", F.explode(F.array_compact(F.array("own", again))))
+    by = Window.partitionBy("key", "part")
+    before = F.count("*").over(by.orderBy("at").rangeBetween(-window, -1))
+    peers = F.row_number().over(Window.partitionBy("key", "part", "at").orderBy("id")) - 1
+    return rows.withColumn("used", before + peers).where("part = own").select("key", "id", "used")

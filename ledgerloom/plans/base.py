@@ -23,7 +23,7 @@ def query(sql: str | None = None, views: str = ""):
         QUERIES[f.__name__] = f
         if sql:
             names = views.split()
-            ORACLE_SQL[f.__name__] = (("WITH " + ", ".join(f"{n} AS ({VIEW_SQL[n]})" for n in names)) if names else "") + sql
+            ORACLE_SQL[f.__name__] = (("WITH RECURSIVE " + ", ".join(f"{n} AS ({VIEW_SQL[n]})" for n in names)) if names else "") + sql
         return f
 
     return add

@@ -3,10 +3,12 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import usage as us
 from ..streaming import jobs
 from .base import query, run_events, scratch, usage
 from .changes import ACTIONS_SQL, _index_tables
 from .curation import _line_files
+from .usage import LIMIT_SQL, by_class
 
 
 def _arriving(rows: DataFrame, label: str) -> DataFrame:
@@ -46,12 +48,28 @@ def l3_windowed_requests(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(out).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "tenant_id", "route_class", "n")
 
 
-@query()
+@query(LIMIT_SQL, "usage")
 def l4_rate_limit_stream(spark: SparkSession, d: str) -> DataFrame:
-    """The batch replay (l4_rate_limit) as a stream; the tests hold the two against each other."""
-    rows = usage(spark, d).select(F.concat_ws(":", "user_id", "route_class").alias("key"), F.col("event_id").alias("id"), "ts")
+    """The batch replay (l4_rate_limit) as a stream."""
     out = scratch(spark, "limit-stream")
-    jobs.append_to(jobs.rate_limit_stream(_arriving(rows, "limited"), 1.0), out, f"{out}-state").awaitTermination()
+    jobs.append_to(jobs.rate_limit_stream(_arriving(by_class(spark, d), "limited"), 1.0), out, f"{out}-state", state=True).awaitTermination()
+    return spark.read.parquet(out)
+
+
+TRAIL_SQL = """SELECT user_id || ':' || route_class AS key, event_id AS id, count(*) OVER (PARTITION BY user_id, route_class ORDER BY ts RANGE BETWEEN INTERVAL 86400 SECONDS PRECEDING AND CURRENT ROW)
+    - count(*) OVER (PARTITION BY user_id, route_class, ts ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS used FROM usage"""
+
+
+@query(" " + TRAIL_SQL, "usage")
+def l3_trailing_requests(spark: SparkSession, d: str) -> DataFrame:
+    """Requests of the last day before each one, by user and class."""
+    return us.trailing_requests(by_class(spark, d))
+
+
+@query(" " + TRAIL_SQL, "usage")
+def l3_trailing_requests_stream(spark: SparkSession, d: str) -> DataFrame:
+    out = scratch(spark, "trail-stream")
+    jobs.append_to(jobs.trailing_requests_stream(_arriving(by_class(spark, d), "trailed")), out, f"{out}-state", state=True).awaitTermination()
     return spark.read.parquet(out)
 
 

@@ -6,11 +6,13 @@ the watermark passes its end; a record later than that is dropped.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..operators import changes, curate, usage
 from ..sources import files
@@ -79,15 +81,107 @@ def run_alerts(events: DataFrame, threshold: float = 0.05) -> DataFrame:
     return usage.run_summary(counts, threshold).where("alert is not null")
 
 
-def rate_limit_stream(requests: DataFrame, rate: float) -> DataFrame:
-    """requests (key, id, ts) with ok and retry_after; the bucket of each key is state. A key's rows of a micro-batch go by time, in however many frames they come."""
-    at = requests.select(F.col("key").cast("string"), "id", (F.unix_micros("ts") / 1e6).alias("sec"))
-    return at.groupBy("key").applyInPandasWithState(
-        usage.limiter_state(rate), "key string, id long, ok boolean, retry_after long", "tokens double, at double", "append", "NoTimeout"
-    )
+class _Buckets(StatefulProcessor):
+    """The token bucket of each key. It is full after a minute without a request, so a timer drops it then."""
 
+    def __init__(self, rate: float):
+        self.rate = rate
 
-def append_to(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.bucket = handle.getValueState("bucket", "tokens double, at double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        # a key's rows of one micro-batch may come in many frames, in any order; the source's rate bounds them
+        got = pd.concat([p[["ts", "id"]] for p in rows], ignore_index=True).sort_values(["ts", "id"])
+        bucket = usage.Bucket(self.rate, *(self.bucket.get() if self.bucket.exists() else (None, None)))
+        took = [bucket.take(x) for x in got["ts"].astype("datetime64[us]").astype("int64") / 1e6]
+        self.bucket.update((float(bucket.tokens), float(bucket.at or 0.0)))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(int((bucket.at or 0.0) * 1000) + 60_000)
+        yield pd.DataFrame({"key": [key[0]] * len(got), "id": got["id"].to_numpy(), "ok": [x[0] for x in took], "retry_after": [x[1] for x in took]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.bucket.clear()
+        yield pd.DataFrame({"key": pd.Series(dtype=str), "id": pd.Series(dtype="int64"), "ok": pd.Series(dtype=bool), "retry_after": pd.Series(dtype="int64")})
+
+    def close(self) -> None:
+        pass
+
+
+class _Trail(StatefulProcessor):
+    """The times of each key's requests in the last window. A timer drops those that the watermark has left behind."""
+
+    def __init__(self, seconds: int):
+        self.window = seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.times = handle.getValueState("times", "at array<bigint>, id array<bigint>")
+
+    def _keep(self, at: np.ndarray, ids: np.ndarray, since: int) -> None:
+        at, ids = at[at >= since], ids[at >= since]
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if len(at):
+            self.times.update((at.tolist(), ids.tolist()))
+            self.handle.registerTimer(int(at[0] + self.window) // 1000 + 1)  # when the first of them is too old for any row that may come
+        else:
+            self.times.clear()
+
+    def _held(self) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(np.array(x, np.int64) for x in (self.times.get() if self.times.exists() else ([], [])))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat([p[["ts", "id"]] for p in rows], ignore_index=True)
+        new_at, new_id = new["ts"].astype("datetime64[us]").astype("int64").to_numpy(), new["id"].to_numpy()
+        at, ids = self._held()
+        at, ids = np.concatenate((at, new_at)), np.concatenate((ids, new_id))
+        order = np.lexsort((ids, at))
+        at, ids = at[order], ids[order]
+        place = np.empty(len(at), np.int64)
+        place[order] = np.arange(len(at))
+        place = place[len(at) - len(new) :]
+        used = place - np.searchsorted(at, new_at - self.window)
+        self._keep(at, ids, timerValues.getCurrentWatermarkInMs() * 1000 - self.window)
+        yield pd.DataFrame({"key": [key[0]] * len(new), "id": new_id, "used": used})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._keep(*self._held(), timerValues.getCurrentWatermarkInMs() * 1000 - self.window)
+        yield pd.DataFrame({"key": pd.Series(dtype=str), "id": pd.Series(dtype="int64"), "used": pd.Series(dtype="int64")})
+
+    def close(self) -> None:
+        pass
+
+
+def _by_key(requests: DataFrame, late: str):
+    return requests.select(F.col("key").cast("string"), "id", "ts").withWatermark("ts", late).groupBy("key")
+
+
+def rate_limit_stream(requests: DataFrame, rate: float, late: str = LATE) -> DataFrame:
+    """requests (key, id, ts) with ok and retry_after; a key's rows of a micro-batch go by time.
+
+    The bucket of a key is state until the watermark is a minute past its last request. A row later than the watermark
+    is dropped; one that is late but not so late finds the bucket as it is. Start it by ``append_to`` with state=True.
+    """
+    return _by_key(requests, late).transformWithStateInPandas(_Buckets(rate), "key string, id long, ok boolean, retry_after long", "Append", "EventTime")
+
+
+def trailing_requests_stream(requests: DataFrame, seconds: int = 86_400, late: str = LATE) -> DataFrame:
+    """requests (key, id, ts) with ``used``, as ``usage.trailing_requests`` has it, from the requests that have come by then.
+
+    A row counts those that came before it or with it; one that comes late is counted by later ones, and what was sent out
+    isn't changed. Rows later than the watermark are dropped. State is the times of the last window, and
+    keys without any leave it.
+    """
+    return _by_key(requests, late).transformWithStateInPandas(_Trail(seconds), "key string, id long, used long", "Append", "EventTime")
+
+
+def append_to(stream: DataFrame, out: str, checkpoint: str, state: bool = False) -> StreamingQuery:
+    """``state``: the stream keeps state of its own with timers, which needs the store that can list it."""
+    if state:
+        stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     return stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,15 +163,16 @@ def test_rate_limit_batch_and_stream(spark, sf):
 
 def test_rate_limit_stream_over_many_frames(spark, tmp_path):
     """A key with more rows than a frame holds, given in no order of time, and a second micro-batch: as the batch replay."""
-    rows = [("a", i, (i * 7) % 40) for i in range(40)] + [("b", 100 + i, i) for i in range(9)]
+    start = 1_000_000  # a stream with a watermark takes no rows of the epoch's first moment
+    rows = [("a", i, start + (i * 7) % 40) for i in range(40)] + [("b", 100 + i, start + i) for i in range(9)]
     frame = lambda part: spark.createDataFrame(part, "key string, id long, sec int").select("key", "id", F.timestamp_seconds("sec").alias("ts"))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
     try:
-        first, second = [r for r in rows if r[2] < 20], [r for r in rows if r[2] >= 20]
+        first, second = [r for r in rows if r[2] < start + 20], [r for r in rows if r[2] >= start + 20]
         for part in (first, second):
             frame(part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
             stream = spark.readStream.schema("key string, id long, ts timestamp").parquet(f"{tmp_path}/in")
-            jobs.append_to(jobs.rate_limit_stream(stream, 2.0), f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+            jobs.append_to(jobs.rate_limit_stream(stream, 2.0), f"{tmp_path}/out", f"{tmp_path}/state", state=True).awaitTermination()
         got = {r["id"]: (r["ok"], r["retry_after"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
@@ -179,6 +181,41 @@ def test_rate_limit_stream_over_many_frames(spark, tmp_path):
     assert late.take(40.0) == (False, 30) and late.at == 100.0
 
 
+def _states(spark, path, name):
+    rows = spark.read.format("statestore").option("stateVarName", name).load(path)
+    return {r["key"]["key"] for r in rows.select("key").collect()}
+
+
+def test_idle_buckets_and_old_requests_leave_the_state(spark, tmp_path):
+    """Batches days apart: only keys that are still of use are state, and decisions are those of the batch twins."""
+    day = 86_400
+    parts = [[("a", 1, day), ("a", 2, day + 30), ("b", 3, day + 10)], [("a", 4, 4 * day), ("c", 5, 4 * day + 5), ("c", 6, 4 * day + 5)], [("c", 7, 4 * day + 7200), ("d", 8, 4 * day + 7300), ("c", 10, 4 * day + 7201), ("c", 9, 4 * day + 7201)]]
+    frame = lambda part: spark.createDataFrame(part, "key string, id long, sec int").select("key", "id", F.timestamp_seconds("sec").alias("ts"))
+    kept = []
+    for part in parts:
+        frame(part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema("key string, id long, ts timestamp").parquet(f"{tmp_path}/in")
+        jobs.append_to(jobs.rate_limit_stream(stream, 1.0), f"{tmp_path}/limit", f"{tmp_path}/limit-state", state=True).awaitTermination()
+        jobs.append_to(jobs.trailing_requests_stream(stream, day), f"{tmp_path}/trail", f"{tmp_path}/trail-state", state=True).awaitTermination()
+        kept.append((_states(spark, f"{tmp_path}/limit-state", "bucket"), _states(spark, f"{tmp_path}/trail-state", "times")))
+    rows = frame([r for p in parts for r in p])
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/limit").collect())) == sorted(map(tuple, usage.rate_limit(rows, 1.0).collect()))
+    trail = sorted(map(tuple, usage.trailing_requests(rows, day, 2).collect()))
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/trail").collect())) == trail
+    assert {i: n for _, i, n in trail} == {1: 0, 2: 1, 3: 0, 4: 0, 5: 0, 6: 1, 7: 2, 8: 0, 9: 3, 10: 4}
+    assert kept[0] == ({"a", "b"}, {"a", "b"}) and kept[1] == ({"a", "c"}, {"a", "c"}) and kept[2][0] == {"c", "d"}
+
+
+def test_trailing_requests_by_brute_force(spark):
+    """Every stretch length gives the plain count, also for a hot key, repeated times and windows that end on a request."""
+    rng = np.random.default_rng(3)
+    rows = [("hot" if i % 3 else f"k{i % 7}", i, int(rng.integers(0, 4000))) for i in range(500)]
+    frame = spark.createDataFrame(rows, "key string, id long, sec int").select("key", "id", F.timestamp_seconds("sec").alias("ts"))
+    want = {i: sum(k2 == k and (s - 100 <= s2 < s or (s2 == s and i2 < i)) for k2, i2, s2 in rows) for k, i, s in rows}
+    for stretch in (1, 3):
+        assert {r["id"]: r["used"] for r in usage.trailing_requests(frame, 100, stretch).collect()} == want
+
+
 def test_index_stream_over_batches(spark, tmp_path):
     """The latest version of an id counts, and a second batch is judged against what the first left."""
     schema = "id string, version int, content_fp string, embed_fp string, embed_text string"
