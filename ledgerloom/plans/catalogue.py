@@ -190,15 +190,21 @@ def d11_boundaries(spark: SparkSession, d: str) -> DataFrame:
     return geo.boundary_counts(regions.select(feature), cross, geo.region_rollup(geo_links(spark, d), geo_units(spark, d)))
 
 
-@query("""SELECT c_custkey AS child_id, 'region:' || least(c_custkey % 7, 4) AS parent_id FROM customer""")
+@query(
+    """SELECT c_custkey AS child_id, 'region:' || CASE WHEN c_custkey % 56 BETWEEN 2 AND 3 THEN 4 ELSE least(c_custkey % 56 // 10, 4) END AS parent_id FROM customer"""
+)
 def d12_polygon_parents(spark: SparkSession, d: str) -> DataFrame:
-    """Unit squares in a row; customers' squares lie inside one, or beyond the last."""
-    keys = [r[0] for r in t(spark, d, "region").select("r_regionkey").orderBy("r_regionkey").collect()]
-    square = lambda x, y, s: [[x, y], [x + s, y], [x + s, y + s], [x, y + s]]
-    parents = [(f"region:{k}", square(float(k), 0.0, 1.0)) for k in keys]
-    x, y = (F.col("c_custkey") % 7 + 0.25).cast("double"), F.lit(0.25)
-    ring = F.array(*[F.array(x + a, y + b) for a, b in ((0.0, 0.0), (0.4, 0.0), (0.4, 0.4), (0.0, 0.4))])
-    return geo.assign_parents(t(spark, d, "customer").select(F.col("c_custkey").alias("child_id"), ring.alias("ring")), parents)
+    """Regions are bands of ten degrees; region 0 has a hole, and an island of region 4 lies in it. Customers' areas have most points on their left side, which the centre doesn't mind, and some lie beyond all bands."""
+    k = F.col("r_regionkey") * 10.0
+    ring = lambda *ps: F.array(*[F.array(x if hasattr(x, "cast") else F.lit(float(x)), F.lit(float(y))) for x, y in ps])
+    band = ring((k, 0), (k + 10, 0), (k + 10, 20), (k, 20), (k, 0))
+    square = ring((2, 8), (4, 8), (4, 12), (2, 12))
+    outline = F.when(F.col("r_regionkey") == 0, F.array(F.array(band, square))).when(F.col("r_regionkey") == 4, F.array(F.array(band), F.array(square))).otherwise(F.array(F.array(band)))
+    parents = t(spark, d, "region").select(F.concat(F.lit("region:"), "r_regionkey").alias("parent_id"), outline.alias("geometry"))
+    x = (F.col("c_custkey") % 56).cast("double") - 0.3
+    side = [(x, 10.5 - i / 20) for i in range(20)]
+    area = F.array(F.array(ring(*side, (x, 9.5), (x + 1.2, 9.5), (x + 1.2, 10.5))))
+    return geo.assign_parents(t(spark, d, "customer").select(F.col("c_custkey").alias("child_id"), area.alias("geometry")), parents)
 
 
 @query("""SELECT 'customer:' || c_custkey AS entity_id, CASE WHEN EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) THEN 'lau' || c_custkey END AS feature_id FROM customer""")
