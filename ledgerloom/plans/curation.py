@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import curate
-from ..sources import files, portal, sinks
+from ..sources import delimited, files, portal, sinks
 from .base import datasets, query, scratch, stored, t
 
 
@@ -80,6 +80,16 @@ def a5_delimited(spark: SparkSession, d: str) -> DataFrame:
     return cells.where("row_no > 0").select("resource_id", "row_no", F.array_join("cells", "|").alias("cells"))
 
 
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, md5(coalesce(text, '')) AS fp FROM documents")
+def a5_chunked(spark: SparkSession, d: str) -> DataFrame:
+    """Whole documents as quoted cells of a few large files, each parsed by as many tasks as it has splits."""
+    path = scratch(spark, "large-files")
+    docs = t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs.coalesce(2).write.csv(path, header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    cells = delimited.delimited_cells(delimited.read_lines(spark, path))
+    return cells.where("row_no > 0").select(F.col("cells")[0].alias("id"), F.md5(F.col("cells")[1]).alias("fp"))
+
+
 def _workbook(rows: list[tuple[str, list[list[str]]]]) -> bytes:
     """A minimal workbook: shared strings, inline strings, numbers and booleans."""
     out = io.BytesIO()
@@ -158,6 +168,18 @@ def a9_xml_roots(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "pages").select("page_id", files.root_element(text).alias("root"))
 
 
+@query(
+    f"""WITH {LINES_SQL} SELECT CAST(l_orderkey AS VARCHAR) AS resource_id, CASE WHEN count(*) OVER (PARTITION BY l_orderkey) = 1 THEN 'order|' ELSE '' END || l_linenumber || '|R&' || l_returnflag || '|' || l_partkey AS record FROM ln"""
+)
+def a9_xml_rows(spark: SparkSession, d: str) -> DataFrame:
+    """An XML file an order: its lines are the records, with an attribute, an entity and a nested element; an order with one line is one record itself."""
+    line = F.format_string('<o:line n="%s"><flag>R&amp;%s</flag><part><key>%s</key></part></o:line>', F.col("l_linenumber").cast("string"), "l_returnflag", F.col("l_partkey").cast("string"))
+    by = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("body"))
+    text = F.concat(F.lit('<?xml version="1.0"?><!-- lines --><o:order xmlns:o="urn:o"><kind>order</kind>'), "body", F.lit("</o:order>"))
+    rows = files.xml_cells(by.select(F.col("l_orderkey").alias("resource_id"), text.alias("text")))
+    return rows.where("row_no > 0").select("resource_id", F.array_join("cells", "|").alias("record"))
+
+
 @query("SELECT CAST(event_id AS VARCHAR) AS resource_id, 'uncurated' AS kind, 'not JSON' AS reason FROM events WHERE event_id % 5 = 0")
 def a11_quarantine(spark: SparkSession, d: str) -> DataFrame:
     text = F.when(F.col("event_id") % 5 == 0, "{broken").otherwise(F.col("props"))

@@ -25,6 +25,8 @@ KIND_OF_FORMAT = {"csv": "tabular", "tsv": "tabular", "xlsx": "tabular", "xls":
 GEOJSON_TYPES = "Feature(?:Collection)?|Point|Polygon|LineString|MultiPolygon|MultiLineString|MultiPoint|GeometryCollection"
 #: Rows of one output batch: a large file leaves a worker in pieces.
 BATCH_ROWS = 5000
+#: Bytes that decide an encoding where not all are valid UTF-8.
+HEAD = 8192
 
 
 def captured(datasets: DataFrame, resources: DataFrame, ids: list[str] | None = None, since: Column | None = None) -> DataFrame:
@@ -111,9 +113,14 @@ def sniff_encoding(data: bytes) -> tuple[str, float]:
         data.decode("utf-8")
         return "utf-8", 0.85
     except UnicodeDecodeError:
-        high = np.frombuffer(data[:8192], np.uint8)
-        high = high[high >= 0x80]
-        return ("cp1251", 0.8) if len(high) and (high >= 0xC0).mean() >= 0.8 else ("utf-8", 0.5)
+        return by_high_bytes(data)
+
+
+def by_high_bytes(data: bytes) -> tuple[str, float]:
+    """(encoding, confidence) of bytes that aren't UTF-8, from the first HEAD of them."""
+    high = np.frombuffer(data[:HEAD], np.uint8)
+    high = high[high >= 0x80]
+    return ("cp1251", 0.8) if len(high) and (high >= 0xC0).mean() >= 0.8 else ("utf-8", 0.5)
 
 
 DECODED = T.StructType([T.StructField("text", T.StringType()), T.StructField("encoding", T.StringType()), T.StructField("confidence", T.DoubleType())])
@@ -271,6 +278,76 @@ def root_element(text: Column) -> Column:
     return F.nullif(F.regexp_extract(plain, r"<([A-Za-z_][\w:.-]*)", 1), F.lit(""))
 
 
+def _plain_name(tag: str) -> str:
+    return tag.rsplit("}", 1)[-1]
+
+
+def xml_records(text: str) -> list[list[str]]:
+    """The repeated element of an XML text as a table: a row of column names, then a row a record.
+
+    The records are the elements of the path that occurs most often, of equally frequent ones the shortest and then the
+    first; a document without any repeated path is one record. A record's columns are its attributes (``@name``), its own text
+    (``#text``) and its descendants by path (``a/b``, ``a/@c``), in the order in which they are first seen; what repeats within a
+    record is joined by line ends. Names lose their namespaces. Broken XML is an error.
+    """
+    root = ElementTree.fromstring(re.sub(r"^\s*<\?xml[^>]*\?>", "", text))
+    counts: dict[tuple[str, ...], int] = {}
+
+    def count(node: ElementTree.Element, path: tuple[str, ...]) -> None:
+        for child in node:
+            at = (*path, _plain_name(child.tag)) if isinstance(child.tag, str) else None
+            if at:
+                counts[at] = counts.get(at, 0) + 1
+                count(child, at)
+
+    count(root, ())
+    # leaves without attributes are cells, unless the document has nothing else that repeats
+    nodes = {at: any(other[: len(at)] == at and len(other) > len(at) for other in counts) for at in counts}
+    repeated = [at for at, n in counts.items() if n > 1]
+    best = min([at for at in repeated if nodes[at]] or repeated, key=lambda at: (-counts[at], len(at)), default=None)
+    found = [root]
+    for name in best or ():
+        found = [c for x in found for c in x if isinstance(c.tag, str) and _plain_name(c.tag) == name]
+    columns: dict[str, int] = {}
+    records: list[dict[str, str]] = []
+
+    def fill(node: ElementTree.Element, prefix: str, into: dict[str, str]) -> None:
+        cells = [(f"{prefix}@{_plain_name(k)}", v) for k, v in node.attrib.items()]
+        own = (node.text or "").strip()
+        if own:
+            cells.append((prefix.rstrip("/") or "#text", own))
+        for k, v in cells:
+            columns.setdefault(k, len(columns))
+            into[k] = f"{into[k]}\n{v}" if k in into else v
+        for child in node:
+            if isinstance(child.tag, str):
+                fill(child, f"{prefix}{_plain_name(child.tag)}/", into)
+
+    for x in found:
+        records.append(row := {})
+        fill(x, "", row)
+    return [list(columns), *[[r.get(c, "") for c in columns] for r in records]]
+
+
+def xml_cells(texts: DataFrame) -> DataFrame:
+    """(resource_id, row_no, width, cells, error) of XML texts (resource_id, text); row 0 has the columns' names, as in a delimited file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.string(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.string()]
+        for batch in batches:
+            for rid, text in zip(*[batch.column(i).to_pylist() for i in range(2)], strict=True):
+                try:
+                    table = xml_records(text or "")
+                    rows = [(rid, i, len(table[0]), cells, None) for i, cells in enumerate(table)]
+                except ElementTree.ParseError as e:
+                    rows = [(rid, None, None, None, f"ParseError: {e}")]
+                for at in range(0, len(rows), BATCH_ROWS):
+                    part = rows[at : at + BATCH_ROWS]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], t) for i, t in enumerate(types)], ["resource_id", "row_no", "width", "cells", "error"])
+
+    return texts.select(F.col("resource_id").cast("string"), "text").mapInArrow(run, "resource_id string, row_no long, width int, cells array<string>, error string")
+
+
 def quarantine(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows without an error, and the uncurated resources with their reason."""
     bad = parsed.where("error is not null").select("resource_id", F.lit("uncurated").alias("kind"), F.col("error").alias("reason")).distinct()
