@@ -12,9 +12,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from ..operators import changes, curate, usage
+from ..functions.tables import stored
+from ..operators import changes, curate, keyed, usage
 from ..sources import files
 
 LATE = "1 hour"
@@ -42,29 +44,49 @@ def curate_stream(captured: DataFrame, out: str, checkpoint: str) -> StreamingQu
     return _each_batch(captured, handle, checkpoint)
 
 
+#: A row an id: what the ledger and the stores hold of it, the batch that wrote it, and what there was before that batch.
+_HELD = "content_fp string, embed_fp string, model_id string, keyword boolean, vector boolean"
+
+
 def index_stream(changed: DataFrame, ledger: DataFrame, keyword_store: DataFrame, vector_store: DataFrame, model_id: str, out: str, checkpoint: str) -> StreamingQuery:
     """Index actions of changed documents (id, version, content_fp, embed_fp, embed_text) under ``out``/actions.
 
-    Of an id's versions in a batch the latest counts. A batch is judged against what the batches before it left:
-    each appends what it processed to ``out``/ledger, and a batch that runs again replaces its own part.
+    Of an id's versions in a batch the latest counts. What earlier batches left is a keyed table under ``out``/ledger:
+    a batch reads and rewrites only the buckets of its ids. Each row also keeps what stood there before the batch that
+    wrote it, so a batch that runs again, after it got through or broke off anywhere, finds what it found at first.
     """
-    columns = ["id", "content_fp", "embed_fp", "model_id"]
+    schema = T.StructType([T.StructField("id", T.StringType()), *T.StructType.fromDDL(f"held struct<{_HELD}>, batch bigint, before struct<{_HELD}>").fields])
+    names = T.StructType.fromDDL(_HELD).names
+    table = f"{out}/ledger"
+
+    def seed() -> None:
+        known = ledger.select(F.col("id").cast("string").alias("id"), *names[:3])
+        for store, name in ((keyword_store, "keyword"), (vector_store, "vector")):
+            ids = store.select(F.col("id").cast("string").alias("id"), F.lit(True).alias(name)).distinct()
+            known = known.join(ids, "id", "full_outer").withColumn(name, F.coalesce(name, F.lit(False)))
+        keyed.create(known.select("id", F.struct(*names).alias("held"), F.lit(-1).cast("long").alias("batch"), F.lit(None).cast(schema["before"].dataType).alias("before")), table, ["id"])
 
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        latest = changes.latest_by(batch, ["id"], [F.desc("version"), F.desc("content_fp"), F.desc("embed_fp")]).drop("version")
-        parts = ledger.select(*columns, F.lit(-1).cast("long").alias("batch"))
-        done = spark.createDataFrame([], "id string")
-        if number:
-            before = spark.read.parquet(f"{out}/ledger").where(F.col("batch") < number).select(*columns, F.col("batch").cast("long").alias("batch"))
-            parts, done = parts.unionByName(before), before.select("id").distinct()
-        now = changes.latest_by(parts, ["id"], [F.desc("batch")]).drop("batch")
-        stores = [x.select("id").unionByName(done.select(F.col("id").cast(x.schema["id"].dataType).alias("id"))) for x in (keyword_store, vector_store)]
-        changes.index_actions(latest, now, *stores, model_id).write.mode("overwrite").parquet(f"{out}/actions/batch={number}")
-        actions = spark.read.parquet(f"{out}/actions/batch={number}")
+        if number == 0:
+            seed()
+        latest = stored(changes.latest_by(batch, ["id"], [F.desc("version"), F.desc("content_fp"), F.desc("embed_fp")]).drop("version").withColumn("id", F.col("id").cast("string")), "index-latest")
+        found = keyed.read(spark, table, schema, keyed.touched(latest, ["id"]))
+        now = found.select("id", F.when(F.col("batch") == number, F.col("before")).otherwise(F.col("held")).alias("was"))
+        flat = now.where("was is not null").select("id", "was.*")
+        actions = changes.index_actions(latest, flat.where("content_fp is not null").select("id", *names[:3]), flat.where("keyword").select("id"), flat.where("vector").select("id"), model_id)
+        actions.write.mode("overwrite").parquet(f"{out}/actions/batch={number}")
         # blank texts have no vector, so the ledger doesn't take them
-        fresh = actions.where("vector <> 'empty_text'").select("id", "content_fp", "embed_fp", F.lit(model_id).alias("model_id"))
-        fresh.write.mode("overwrite").parquet(f"{out}/ledger/batch={number}")
+        fresh = spark.read.schema(actions.schema).parquet(f"{out}/actions/batch={number}").where("vector <> 'empty_text'")
+        fresh = fresh.select("id", F.struct("content_fp", "embed_fp", F.lit(model_id).alias("model_id"), F.lit(True).alias("keyword"), F.lit(True).alias("vector")).alias("held"))
+
+        def merge(old: DataFrame, new: DataFrame) -> DataFrame:
+            at = old.join(new.select("id", F.col("held").alias("new")), "id", "full_outer")
+            before = F.when(F.col("batch") == number, F.col("before")).otherwise(F.col("held"))
+            taken = F.col("new").isNotNull()
+            return at.select("id", F.coalesce("new", "held").alias("held"), F.when(taken, F.lit(number)).otherwise(F.col("batch")).cast("long").alias("batch"), F.when(taken, before).otherwise(F.col("before")).alias("before"))
+
+        keyed.update(table, fresh, ["id"], schema, merge)
 
     return _each_batch(changed, handle, checkpoint)
 
