@@ -110,9 +110,14 @@ def full_record(datasets: DataFrame, resources: DataFrame, entities: DataFrame,
     Children are ranked, cut and collected before the joins, all by dataset id: rows don't multiply and no
     dataset collects more than the caps.
     """
+    return with_children(datasets, resources, entities, both_sides(links), max_links, max_entities)
+
+
+def with_children(datasets: DataFrame, resources: DataFrame, entities: DataFrame, sides: DataFrame, max_links: int = 25, max_entities: int = 40) -> DataFrame:
+    """full_record() of links as both_sides() has them; of tables that are bucketed alike by id and dataset_id it needs no shuffle."""
     res = resources.groupBy(F.col("dataset_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("position", "resource_id", "format"))).alias("resources"))
     ent = cap(entities, "dataset_id", "entity_id", max_entities).groupBy(F.col("dataset_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("entity_id", "confidence"))).alias("entities"))
-    rel = cap(both_sides(links), "dataset_id", "other_id", max_links).groupBy(F.col("dataset_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("other_id", "confidence"))).alias("links"))
+    rel = cap(sides, "dataset_id", "other_id", max_links).groupBy(F.col("dataset_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("other_id", "confidence"))).alias("links"))
     return datasets.join(res, "id", "left").join(ent, "id", "left").join(rel, "id", "left")
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.tables import bucketed
 from ..operators import catalog, geo
 from .base import NOW, datasets, geo_links, geo_units, query, t
 
@@ -103,18 +104,14 @@ ORDER_LINKS_SQL = """o AS (SELECT o_custkey, CAST(o_orderkey AS VARCHAR) AS b FR
     sides AS (SELECT a AS dataset_id, b AS other_id FROM links UNION ALL SELECT b, a FROM links)"""
 
 
-@query(
-    f"""WITH {ORDER_LINKS_SQL}, ent AS (SELECT CAST(l_orderkey AS VARCHAR) AS id, 'nation:' || s_nationkey AS e, max(round(1 - l_discount, 2)) AS c FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2)
+RECORD_SQL = f"""WITH {ORDER_LINKS_SQL}, ent AS (SELECT CAST(l_orderkey AS VARCHAR) AS id, 'nation:' || s_nationkey AS e, max(round(1 - l_discount, 2)) AS c FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2)
         SELECT x.b AS id, coalesce(r.n, 0) AS n_resources, r.first AS first_resource, coalesce(e.n, 0) AS n_entities, coalesce(l.n, 0) AS n_links, l.others
         FROM o x LEFT JOIN (SELECT CAST(l_orderkey AS VARCHAR) AS id, CAST(count(*) AS INTEGER) AS n, min(l_linenumber) AS first FROM lineitem GROUP BY 1) r ON r.id = x.b
         LEFT JOIN (SELECT id, CAST(least(count(*), 40) AS INTEGER) AS n FROM ent GROUP BY 1) e ON e.id = x.b
         LEFT JOIN (SELECT dataset_id, CAST(count(*) AS INTEGER) AS n, string_agg(other_id, ',' ORDER BY other_id) AS others FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY other_id) AS r FROM sides) WHERE r <= 25 GROUP BY 1) l ON l.dataset_id = x.b"""
-)
-def d2_full_record(spark: SparkSession, d: str) -> DataFrame:
-    sets = t(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("id"))
-    res = t(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("dataset_id"), F.col("l_linenumber").alias("position"), F.col("l_partkey").alias("resource_id"), F.col("l_returnflag").alias("format"))
-    ent = catalog.strongest_places(geo_links(spark, d).where("extractor = 'supplier'"))
-    full = catalog.full_record(sets, res, ent, order_links(spark, d))
+
+
+def _shown(full: DataFrame) -> DataFrame:
     n = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c))
     return full.select(
         "id", n("resources").alias("n_resources"), F.array_min(F.transform("resources", lambda r: r["position"])).alias("first_resource"),
@@ -122,6 +119,30 @@ def d2_full_record(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _record_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Datasets, resources, entities and both sides of links."""
+    sets = t(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("id"))
+    res = t(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("dataset_id"), F.col("l_linenumber").alias("position"), F.col("l_partkey").alias("resource_id"), F.col("l_returnflag").alias("format"))
+    ent = catalog.strongest_places(geo_links(spark, d).where("extractor = 'supplier'"))
+    return sets, res, ent, catalog.both_sides(order_links(spark, d))
+
+
+@query(RECORD_SQL)
+def d2_full_record(spark: SparkSession, d: str) -> DataFrame:
+    return _shown(catalog.with_children(*_record_tables(spark, d)))
+
+
+def bucketed_record(spark: SparkSession, d: str) -> DataFrame:
+    keys = ("id", "dataset_id", "dataset_id", "dataset_id")
+    return catalog.with_children(*[bucketed(x, f"record_{i}", k) for i, (x, k) in enumerate(zip(_record_tables(spark, d), keys, strict=True))])
+
+
+@query(RECORD_SQL)
+def d2_bucketed(spark: SparkSession, d: str) -> DataFrame:
+    """The same records of tables that are stored in like buckets, so that nothing is shuffled when they are read."""
+    return _shown(bucketed_record(spark, d))
+
+
 @query(f"WITH {ORDER_LINKS_SQL} SELECT dataset_id, other_id FROM sides WHERE dataset_id IN (SELECT min(b) FROM o)")
 def d15_related(spark: SparkSession, d: str) -> DataFrame:
     sides = catalog.both_sides(order_links(spark, d))

@@ -314,3 +314,16 @@ def test_claims(spark):
 def test_places_are_dense(spark):
     got = catalog.with_place(spark.range(1000).withColumn("k", F.col("id") % 10), [F.col("k").desc(), F.col("id")]).orderBy("place").collect()
     assert [r["place"] for r in got] == list(range(1, 1001)) and [r["id"] for r in got[:3]] == [9, 19, 29]
+
+
+def test_bucketed_children_join_without_a_shuffle(spark, sf):
+    from ledgerloom.plans import catalogue
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        stored_once = catalogue.bucketed_record(spark, sf)
+        assert "Exchange" not in stored_once._jdf.queryExecution().executedPlan().toString()
+        assert stored_once.count() == spark.read.parquet(f"{sf}/orders.parquet").count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
