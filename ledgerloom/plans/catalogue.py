@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.tables import bucketed
-from ..operators import catalog, geo
-from .base import NOW, datasets, geo_links, geo_units, query, t
+from ..operators import catalog, geo, pages
+from .base import NOW, datasets, geo_links, geo_units, query, scratch, t
 
 STALE_SQL = f"date_diff('second', last_synced_at, TIMESTAMP '{NOW}') > 86400"
 PLACED_SQL = """placed AS (SELECT dataset_id, CASE WHEN u.kind = 'oblast' THEN u.id ELSE u.parent END AS region, max(confidence) AS confidence
@@ -286,3 +286,12 @@ def g2_sorted_grid(spark: SparkSession, d: str) -> DataFrame:
 def g3_page(spark: SparkSession, d: str) -> DataFrame:
     rows, total, _ = catalog.page(datasets(spark, d), "id", 100, 20)
     return rows.select("id", F.lit(total).cast("long").alias("total"))
+
+
+@query("""SELECT id, title, (SELECT count(*) FROM datasets) AS total FROM datasets ORDER BY id LIMIT 1000 OFFSET 70""", "datasets")
+def g3_sorted_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The largest page of a table that is stored in ranges of its order."""
+    rows, path = datasets(spark, d).select("id", "title"), scratch(spark, "sorted-pages")
+    pages.write(rows, [F.asc("id")], "id", path)
+    out, total, _ = pages.page(spark, path, rows.schema, 1000, 70)
+    return out.select("id", "title", F.lit(total).cast("long").alias("total"))
