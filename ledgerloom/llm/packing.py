@@ -28,14 +28,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, text_slices
 
 LENGTH, END_ID = 1024, 0
 BINS, DIMS, BITS = 256, 3, 10
 #: Documents a range holds on average, and most ranges (beyond, they hold more).
 RANGE_DOCS, MAX_RANGES = 4096, 100_000
-#: Rows of a batch of texts: the more, the more chunks are alike. Batches are bounded by bytes as well.
-TEXTS = 512
+#: Rows and bytes of text that are tokenized at once: the more, the more chunks are alike.
+TEXTS, SLICE = 512, 2 << 20
 #: The split of byte-level BPE, with possessive repeats; and what it comes to in texts without two blanks in a row.
 GPT_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 PLAIN_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s"""
@@ -181,7 +181,7 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         bins, plane = rng.integers(0, BINS, tok.size), rng.normal(size=(BINS, DIMS))
         plane -= plane.mean(axis=0)  # else all texts share their common part's coordinate
         end = np.array([END_ID], tok.kind)
-        for batch in batches:
+        for batch in text_slices(batches, 1, SLICE, TEXTS):
             ids = [np.concatenate((x, end)) for x in tok.encode_all(batch.column(1))]
             keys = hilbert_keys(points(ids, bins, plane)) if ids else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
