@@ -5,7 +5,6 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import measures as m
 from ..operators import catalog, changes, keyword_index, vector_index
 from ..operators import search as se
 from .base import NOW, datasets, query, scratch, stored, t
@@ -280,13 +279,12 @@ def e20_recall(spark: SparkSession, d: str) -> DataFrame:
     return se.recall(hits, asked, expected).withColumn("recall", F.round("recall", 4))
 
 
-@query(f"WITH {VEC_SQL} SELECT count(*) AS pairs, count(DISTINCT query_id) AS queries FROM vec WHERE score > 0.2")
+@query(f"WITH {VEC_SQL} SELECT count(*) AS pairs, count(DISTINCT query_id) AS queries FROM vs WHERE score > 0.2")
 def b20_close_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """The same scores by the column expression, checked against the block product's candidates."""
-    e = t(spark, d, "embeddings")
-    hits = vector(spark, d).select("query_id", "id")
-    at = hits.join(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("x")), "query_id").join(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("y")), "id")
-    return at.where(m.cosine(F.col("x"), F.col("y")) > 0.2).agg(F.count("*").alias("pairs"), F.count_distinct("query_id").alias("queries"))
+    """All pairs of a query and a vector above 0.2, however many a query has: found by the block product, scored by the column expression."""
+    e = t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    pairs = se.close_vectors(e.where("id % 100 = 0").select(F.col("id").alias("query_id"), "vector"), e, 0.2)
+    return pairs.agg(F.count("*").alias("pairs"), F.count_distinct("query_id").alias("queries"))
 
 
 @query("SELECT id FROM datasets WHERE lifecycle <> 'active' AND CAST(id AS BIGINT) % 2 = 0", "datasets")

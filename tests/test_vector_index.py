@@ -2,9 +2,11 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.operators import search as se
 from ledgerloom.operators import vector_index as vi
+from ledgerloom.plans import registry
 
 SCHEMA = "id string, vector array<double>"
 
@@ -71,3 +73,29 @@ def test_no_vectors_and_one(spark, tmp_path):
     assert vi.search(spark, path, asked)[0].count() == 0
     vi.build(spark.createDataFrame([(5, [2.0, 2.0])], "id int, vector array<float>"), path := str(tmp_path / "one"))
     assert [tuple(r) for r in vi.search(spark, path, asked)[0].collect()] == [("q", 5, 1.0, 1)]
+
+
+def test_all_close_pairs(spark, tmp_path, monkeypatch):
+    """A query with more than 50 close vectors keeps them all; odd vectors are close to nothing."""
+    monkeypatch.setattr(se, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(se, "CLOSE_ROWS", 37)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 6))
+    x[:150] = x[0] + rng.normal(size=(150, 6)) * 0.1  # near copies
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = unit[::100] @ unit.T
+    want = sorted((100 * int(q), int(i)) for q, i in zip(*np.nonzero(s > 0.2), strict=True))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    table.write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = registry.QUERIES["b20_close_pairs"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in got] == [(len(want), 4)] and sum(q == 0 for q, _ in want) > 150 > 50
+    odd = [(500, None), (600, [0.0] * 6), (700, [1.0]), (800, [None] * 6), (900, [float("nan")] * 6), (1000, [float("inf")] * 6), (None, x[0].tolist())]
+    more = spark.createDataFrame(rows + odd, "id long, vector array<double>")
+    pairs = se.close_vectors(more.where("id % 100 = 0").select(more.id.alias("query_id"), "vector"), more, 0.2).collect()
+    assert sorted((r["query_id"], r["id"]) for r in pairs) == sorted([*want, (700, 700)])
+    assert all(abs(r["score"] - (s[r["query_id"] // 100, r["id"]] if r["id"] < 400 else 1)) < 1e-9 for r in pairs)
+    twice = table.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")).where("id % 100 = 0")  # ids and rows that repeat
+    twice = twice.unionByName(twice)
+    assert se.close_vectors(twice.select(twice.id.alias("query_id"), "vector"), twice, 0.2).count() == 4 * sum(i % 100 == 0 for _, i in want)
+    assert se.close_vectors(more.limit(0).select(more.id.alias("query_id"), "vector"), more, 0.2).count() == 0
