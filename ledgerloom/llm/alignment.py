@@ -1,14 +1,14 @@
 """Alignment of two tokenizers: which tokens of the one cover bytes of which tokens of the other, and how usual that is.
 
 Tokenizer A is a byte-level BPE file of ``tokenizers`` and reads a space and the text; tokenizer B is a SentencePiece
-model, which adds that space itself. Both libraries give the characters that each token spans. Where two
-spans meet between characters, that is a cut; tokens that share a character (parts of a multibyte one, or byte
-fallback) are cut by the lengths of their decoded bytes. ``sentencepiece`` has dropped the immutable proto; its spans
-come as an offset mapping.
+model, which adds that space itself. A token ends where the bytes decoded so far end, so tokens that share a character
+(parts of a multibyte one, or byte fallback) need no care, and a byte where tokens of both end is a cut. A is encoded by
+the same file's encoder in ``packing``, which gives the ids of ``tokenizers`` in a quarter of the time, and texts with
+very long runs by ``tokenizers``.
 
 A single space between two characters that aren't blank starts a token in both tokenizers. Texts are split there, each
 different segment of a task's texts is aligned once, many at a time, and documents are put together from segments by
-position. Texts come in slices bounded by bytes and rows, and the table of segments starts anew when it is full.
+position. Texts come in slices bounded by bytes and rows; a full table of segments keeps those that came again.
 
 How many documents hold a pair of ids linked is counted over the whole corpus, combined in each task first. The most
 frequent pairs, HOT_PAIRS at most, are sent to all tasks; rarer ones are joined by pair, and since the frequent ones
@@ -25,8 +25,8 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +35,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
+from . import packing
 from .common import packed, stored, text_slices
 
 MARK = "▁"
-#: Segments a task's table holds, besides those of one slice, before it starts anew.
-TABLE = 1 << 18
+#: Segments a task's table holds, besides those of one slice, before those that didn't come again go.
+TABLE = 1 << 17
 #: Bytes and rows of text of a slice, segments encoded as one text, and segments put together at once.
-SLICE, SLICE_ROWS, JOINED, GATHERED = 4 << 20, 4096, 512, 1 << 17
+SLICE, SLICE_ROWS, JOINED, GATHERED = 2 << 20, 4096, 512, 1 << 17
+#: Characters between spaces, or of white space, beyond which a text is encoded by ``tokenizers`` itself.
+LONG_RUN = 256
+LONG_BLANK = re.compile(rf"\s{{{LONG_RUN}}}")
 #: Pairs of ids sent to all tasks: 25 MB. And pairs a task counts before it hands them on.
 HOT_PAIRS = 1 << 20
 COUNTED_PAIRS = 1 << 20
@@ -100,6 +104,15 @@ class Cuts:
         out.good = np.concatenate([p.good for p in parts])
         return out
 
+    def taken(self, rows: np.ndarray) -> Cuts:
+        """The segments ``rows`` in that order, without their text."""
+        n = self.counts[:, 3]
+        m = n[rows]
+        links = self.links[np.repeat((np.cumsum(n) - n)[rows] - (np.cumsum(m) - m), m) + np.arange(m.sum())]
+        out = Cuts(b"", self.sizes[rows], self.counts[rows], links)
+        out.good = self.good[rows]
+        return out
+
 
 NO_CUTS = Cuts(b"", np.zeros(0, np.int64), np.zeros((0, 4), np.int64), np.zeros(0, np.int64))
 LOST = Cuts(b"", np.zeros(1, np.int64), np.zeros((1, 4), np.int64), np.zeros(0, np.int64), good=False)
@@ -128,47 +141,31 @@ class Aligner:
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
         self.a_width, self.b_width = (np.array([len(x) for x in t]) for t in (self.a_bytes, self.b_bytes))
         self.n_b = len(pieces)
-        self.rows: dict[str, int] = {}  # segments that are aligned, by their row in ``cuts`` and ``groups``
-        self.cuts, self.groups = NO_CUTS, []
-
-    @staticmethod
-    def _ends(ids: np.ndarray, start: np.ndarray, end: np.ndarray, byte_at: np.ndarray, width: np.ndarray) -> np.ndarray:
-        """Byte at which each token ends: where spans of characters meet, else by decoded bytes from the last such place."""
-        clean = np.concatenate((start[1:] >= end[:-1], [True])) & (end > start)
-        done = np.cumsum(width[ids])
-        last = np.maximum.accumulate(np.where(clean, np.arange(len(ids)), -1))
-        last = np.concatenate(([-1], last[:-1]))  # the last clean cut before each token
-        base = np.where(last >= 0, byte_at[end[last]] - done[last], 0)
-        return np.where(clean, byte_at[end], base + done)
-
-    def _spans_a(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        got = self.a.encode(text, add_special_tokens=False)
-        return np.array(got.ids, np.int64), np.fromiter(chain.from_iterable(got.offsets), np.int64)
-
-    def _spans_b(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        got = self.b.encode(text[1:], return_type="offset_mapping")
-        return np.array(got["ids"], np.int64), np.fromiter(chain.from_iterable(got["offsets"]), np.int64)
+        self.encoder = packing.Tokenizer(a_path)
+        # ids of A (0, 1) and B (2, 3) as they are written, with the sign behind them inside a group and at its end
+        self.signed = [b"%d%c" % (x >> 2, b",|,;"[x & 3]) for x in range(4 * max(len(self.a_bytes), self.n_b))]
+        self.signed_width = np.array([len(x) for x in self.signed])
+        self.rows: dict[str, int] = {}  # segments that are aligned, by their row in ``cuts``, ``groups`` and ``again``
+        self.cuts, self.groups, self.again = NO_CUTS, [], np.zeros(0, bool)
+
+    def _ids_a(self, text: str) -> np.ndarray:
+        # the faster encoder fails on runs of hundreds of thousands of characters
+        if LONG_BLANK.search(text) or max(map(len, text.split(" "))) > LONG_RUN:
+            return np.array(self.a.encode(text, add_special_tokens=False).ids, np.int64)
+        return self.encoder.encode_plain(text).astype(np.int64)
+
+    def _ids_b(self, text: str) -> np.ndarray:
+        return np.array(self.b.encode(text[1:]), np.int64)
 
     def _cut(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
         """Ids of A and the bytes where they end, and the same of B, of texts that begin with a space, laid end to end; None if bytes differ."""
-        whole = "".join(texts)
-        points = np.frombuffer(whole.encode("utf-32-le"), "<u4")
-        byte_at = np.concatenate(([0], np.cumsum(1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000))))
-        base = np.concatenate(([0], np.cumsum([len(x) for x in texts])))
+        whole = "".join(texts).encode()
         out: list[np.ndarray] = []
-        for spans_of, tokens, width, shift in ((self._spans_a, self.a_bytes, self.a_width, 0), (self._spans_b, self.b_bytes, self.b_width, 1)):
-            got = [spans_of(x) for x in texts]  # arrays, since the libraries' objects of all texts are large
-            n = [len(x[0]) for x in got]
-            if not all(n):
-                return None
-            ids = np.concatenate([x[0] for x in got])
-            span = np.concatenate([x[1] for x in got]).reshape(-1, 2) + np.repeat(base[:-1], n)[:, None] + shift
-            span[np.cumsum(n) - n, 0] = base[:-1]  # the added space is the first token's
-            if b"".join([tokens[i] for i in ids.tolist()]) != whole.encode():
+        for ids_of, tokens, width in ((self._ids_a, self.a_bytes, self.a_width), (self._ids_b, self.b_bytes, self.b_width)):
+            ids = np.concatenate([ids_of(x) for x in texts])  # arrays, since the libraries' objects of all texts are large
+            if b"".join(map(tokens.__getitem__, ids.tolist())) != whole:
                 return None
-            ends = self._ends(ids, span[:, 0], span[:, 1], byte_at, width)
-            true = np.cumsum(width[ids])
-            out += [ids, ends if np.array_equal(ends, true) else true]  # decoded bytes decide
+            out += [ids, np.cumsum(width[ids])]
         return out[0], out[1], out[2], out[3]
 
     def _align(self, texts: list[str], sizes: list[int]) -> Cuts | None:
@@ -177,23 +174,26 @@ class Aligner:
         if cut is None:
             return None
         a, a_end, b, b_end = cut
-        both = np.intersect1d(a_end, b_end, assume_unique=True)
         stop = np.cumsum(sizes)
-        if not np.isin(stop, both, assume_unique=True).all():
+        # for every byte: whether a token of A, of B, of both or of any ends there, and how many have ended up to there
+        of_a, of_b = np.zeros(int(stop[-1]) + 1, bool), np.zeros(int(stop[-1]) + 1, bool)
+        of_a[a_end], of_b[b_end] = True, True
+        of_both = of_a & of_b
+        if not of_both[stop].all():
             return None
-        every = np.union1d(a_end, b_end)
-        links = (a[np.searchsorted(a_end, every)] * self.n_b + b[np.searchsorted(b_end, every)]).astype("<i8")
+        both, every = np.flatnonzero(of_both), np.flatnonzero(of_a | of_b)
+        n_a, n_b, n_both = (np.cumsum(x, dtype=np.int32) for x in (of_a, of_b, of_both))
+        links = (a[n_a[every] - of_a[every]] * self.n_b + b[n_b[every] - of_b[every]]).astype("<i8")
         # the groups' text: A's ids and then B's of each group, every id with the sign behind it
-        a_no, b_no = np.searchsorted(both, a_end), np.searchsorted(both, b_end)
-        a_stop, b_stop = np.searchsorted(a_end, both, side="right"), np.searchsorted(b_end, both, side="right")
+        a_no, b_no = n_both[a_end] - of_both[a_end], n_both[b_end] - of_both[b_end]
+        a_stop, b_stop = n_a[both], n_b[both]
         word = np.empty(len(a) + len(b), np.int64)
-        word[np.arange(len(a)) + np.concatenate(([0], b_stop[:-1]))[a_no]] = 4 * a + (a_end == both[a_no])
-        word[np.arange(len(b)) + a_stop[b_no]] = 4 * b + 2 + (b_end == both[b_no])
-        used, word = np.unique(word, return_inverse=True)
-        signed = [b"%d%c" % (x >> 2, b",|,;"[x & 3]) for x in used.tolist()]
-        text = b"".join([signed[w] for w in word.tolist()])
-        written = np.concatenate(([0], np.cumsum(np.array([len(x) for x in signed])[word])))
-        at = np.array([np.concatenate(([0], np.searchsorted(x, stop, side="right"))) for x in (a_end, b_end, both, every)])
+        word[np.arange(len(a)) + np.concatenate(([0], b_stop[:-1]))[a_no]] = 4 * a + of_both[a_end]
+        word[np.arange(len(b)) + a_stop[b_no]] = 4 * b + 2 + of_both[b_end]
+        text = b"".join(map(self.signed.__getitem__, word.tolist()))
+        written = np.concatenate(([0], np.cumsum(self.signed_width[word])))
+        ended = [n_a[stop], n_b[stop], n_both[stop], np.searchsorted(every, stop, side="right")]
+        at = np.array([np.concatenate(([0], x)) for x in ended], np.int64)
         return Cuts(text, np.diff(written[at[0] + at[1]]), np.diff(at).T, links)
 
     def _aligned(self, segs: list[str]) -> tuple[Cuts, list[int]]:
@@ -213,7 +213,13 @@ class Aligner:
     def rows_of(self, segs: list[str]) -> np.ndarray:
         """Row of each segment in the table, which takes in those that it lacks."""
         if len(self.rows) > TABLE:
-            self.rows, self.cuts, self.groups = {}, NO_CUTS, []
+            # those that came again stay, if they leave half of the room; they must come again to stay once more
+            kept = np.flatnonzero(self.again) if self.again.sum() <= TABLE // 2 else np.zeros(0, np.int64)
+            to = np.full(len(self.again), -1)
+            to[kept] = np.arange(len(kept))
+            self.rows = {x: i for x, i in zip(self.rows, to[list(self.rows.values())].tolist(), strict=True) if i >= 0}
+            self.cuts, self.groups, self.again = self.cuts.taken(kept), [self.groups[i] for i in kept.tolist()], np.zeros(len(kept), bool)
+        n_old = len(self.groups)
         new = [x for x in segs if x not in self.rows]
         if new:
             cuts, order = self._aligned(new)
@@ -222,7 +228,10 @@ class Aligner:
             self.groups += [cuts.text[i:j] for i, j in zip([0, *ends], ends)]
             cuts.text = b""
             self.cuts = Cuts.joined([self.cuts, cuts])
-        return np.array([self.rows[x] for x in segs], np.int64)
+        out = np.array([self.rows[x] for x in segs], np.int64)
+        self.again = np.concatenate((self.again, np.zeros(len(self.groups) - n_old, bool)))
+        self.again[out[out < n_old]] = True
+        return out
 
     def documents(self, texts: pa.Array) -> tuple[list[bytes], np.ndarray, pa.Array, pa.Array]:
         """Of each text: groups, (n_a, n_b, n_groups, n_links), its distinct linked pairs and how often it has each."""

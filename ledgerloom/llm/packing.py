@@ -99,19 +99,20 @@ class Tokenizer:
         self.width = np.zeros(self.size, np.int64)  # bytes of each token
         self.width[list(ranks.values())] = [len(t) for t in ranks]
 
-    def _raw(self, text: str) -> np.ndarray:
+    def encode_plain(self, text: str) -> np.ndarray:
+        """Ids of one whole text whose added tokens are plain text."""
         encoder = self.encoder if self.two_blanks.search(text) else self.plain
         return np.frombuffer(array(self.kind_code, encoder.encode_ordinary(text)), self.kind)
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of one whole text."""
         if not any(x in text for x in self.added):
-            return self._raw(text)
+            return self.encode_plain(text)
         out, at = [], 0
         for m in self.cut.finditer(text):
-            out += [self._raw(text[at : m.start()]), np.array([self.added[m[0]]], self.kind)]
+            out += [self.encode_plain(text[at : m.start()]), np.array([self.added[m[0]]], self.kind)]
             at = m.end()
-        return np.concatenate([*out, self._raw(text[at:])])
+        return np.concatenate([*out, self.encode_plain(text[at:])])
 
     def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each of ``texts`` (null: none)."""
@@ -130,7 +131,7 @@ class Tokenizer:
         alone = np.diff(np.concatenate((begin, [len(code)]))) == 1
         first_bad = bad[code[begin]] & ~(alone & np.array([not x for x in first]))
         ids, n = self._pieces(body.filter(pa.array(~bad)))
-        firsts = [self._raw("" if b else x) for x, b in zip(first, first_bad.tolist(), strict=True)]
+        firsts = [self.encode_plain("" if b else x) for x, b in zip(first, first_bad.tolist(), strict=True)]
         sizes = np.zeros(len(body) + len(texts), np.int64)
         sizes[: len(body)][~bad] = n
         sizes[len(body) :] = [len(x) for x in firsts]
@@ -149,7 +150,7 @@ class Tokenizer:
         if not len(chunks):
             return np.empty(0, self.kind), np.empty(0, np.int64)
         joined = pc.binary_join(pa.ListArray.from_arrays([0, len(chunks)], chunks), pa.scalar(" ", pa.large_string()))[0].as_py()
-        ids = self._raw(" " + joined)
+        ids = self.encode_plain(" " + joined)
         ends = np.cumsum(pc.binary_length(chunks).to_numpy() + 1)
         is_end = np.zeros(ends[-1] + 1, bool)
         is_end[ends] = True

@@ -151,6 +151,28 @@ def test_tokenizers_of_empty_tables(spark):
     assert pieces.encode(none, B).count() == 0 and alignment.align(none, A, B).count() == 0
 
 
+def test_ids_of_the_first_tokenizer():
+    """The faster encoder gives the ids of ``tokenizers``, also next to any kind of sign; very long runs are left to that library."""
+    own = alignment.Aligner(A, B)
+    signs = [chr(c) for c in [*range(1, 0x3100), 0xFEFF, 0x10400, 0x1D7CE, 0x1F600, 0x323B0, 0xE0001, 0x10FFFF]]
+    texts = [" " + " ".join(f"a{c}1{c}!{c}'s {c}  {c}\n\n{c}" for c in signs[i : i + 500]) for i in range(0, len(signs), 500)]
+    texts += [" <|endoftext|> x<|endoftext|>", *(" " + x * n for x in ("a", " ", "\n", " \n", "7", "!?", "\x1c!", "\u3000", "日本語", "ab ") for n in (250, 257, 200_000))]
+    for text in texts:
+        assert own._ids_a(text).tolist() == own.a.encode(text, add_special_tokens=False).ids
+
+
+def test_full_table_keeps_what_came_again(monkeypatch):
+    """Segments that come again are aligned once, though rare ones fill the table time and again."""
+    monkeypatch.setattr(alignment, "TABLE", 40)
+    own, aligned = alignment.Aligner(A, B), []
+    plain = own._aligned
+    monkeypatch.setattr(own, "_aligned", lambda segs: (aligned.extend(segs), plain(segs))[1])
+    texts = [" ".join([*(f"usual{i}" for i in range(10)), *(f"rare{k}x{i}" for i in range(15))]) for k in range(12)]
+    got = [own.documents(pa.array([x]))[0][0] for x in texts]
+    assert len(own.groups) == len(own.rows) == len(own.again) < 80 and got == [alignment.Aligner(A, B).documents(pa.array([x]))[0][0] for x in texts]
+    assert aligned.count("usual3") == 1 and aligned.count("rare2x3") == 1
+
+
 def test_other_tokenizers_are_refused():
     with pytest.raises((ValueError, KeyError)):
         alignment.Aligner(queries.tokenizer_path("word_bpe_49k.json"), B)
