@@ -18,6 +18,7 @@ import itertools
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,6 +53,8 @@ RULES = BASE_RULES + MORE_RULES
 MAX_CLASS, MAX_ALTERNATIVES = 6, 64
 #: Documents up to which candidates are broadcast.
 MAX_BROADCAST = 500_000
+#: Trigrams in one long.
+BITS = 63
 MASK = "[SECRET]"
 
 
@@ -120,13 +123,30 @@ def build_index(docs: DataFrame, trigrams: Sequence[str]) -> DataFrame:
     return docs.select(F.explode(hits).alias("trigram"), "doc_id", F.xxhash64("text").alias("text_hash"))
 
 
+def trigrams_of(rules: Sequence[Rule]) -> list[str]:
+    return sorted({g for r in rules for alt in trigram_query(r.regex) for g in alt})
+
+
 def candidates(index: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """(doc_id, text_hash, kinds): the rules whose query the postings satisfy. Counts are combined before the shuffle."""
-    spark = index.sparkSession
-    rows = [(r.kind, i, len(alt), g) for r in rules for i, alt in enumerate(trigram_query(r.regex)) for g in sorted(alt)]
-    query = F.broadcast(spark.createDataFrame(rows, "kind string, alt int, need int, trigram string"))  # a row per rule trigram
-    met = index.distinct().join(query, "trigram").groupBy("doc_id", "text_hash", "kind", "alt").agg(F.count("*").alias("n"), F.first("need").alias("need"))
-    return met.where("n = need").groupBy("doc_id", "text_hash").agg(F.collect_set("kind").alias("kinds"))
+    """(doc_id, text_hash, kinds): the rules whose query the postings satisfy.
+
+    A trigram is a bit, so a document's postings are joined by OR before the one shuffle, and repeats change nothing.
+    """
+    place = {g: divmod(i, BITS) for i, g in enumerate(trigrams_of(rules))}
+    words = range(-(-len(place) // BITS))
+
+    def mask(grams: Sequence[str], word: int) -> int:
+        return sum(1 << place[g][1] for g in grams if place[g][0] == word)
+
+    number = F.array_position(F.array(*map(F.lit, place)), F.col("trigram")).cast("int")
+    bits = [F.element_at(F.array(*[F.lit(mask([g], w)).cast("long") for g in place]), number) for w in words]
+    met = index.groupBy("doc_id", "text_hash").agg(*[F.bit_or(bits[w]).alias(f"m{w}") for w in words])
+
+    def satisfied(alt: frozenset[str]) -> Column:
+        return reduce(Column.__and__, [F.col(f"m{w}").bitwiseAND(F.lit(mask(alt, w)).cast("long")) == mask(alt, w) for w in words])
+
+    found = [F.when(reduce(Column.__or__, map(satisfied, trigram_query(r.regex))), F.lit(r.kind)) for r in rules]
+    return met.select("doc_id", "text_hash", F.array_compact(F.array(*found)).alias("kinds")).where("size(kinds) > 0")
 
 
 def spans(text: Column, rule: Rule, order: int) -> Column:
@@ -164,27 +184,30 @@ def spans(text: Column, rule: Rule, order: int) -> Column:
 SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
-def find(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """(doc_id, text_hash, spans) of every row of ``docs``, spans sorted by start, then by rule.
+def with_spans(docs: DataFrame, rules: Sequence[Rule] = RULES) -> tuple[DataFrame, Column]:
+    """``docs`` (doc_id, text, ...) beside its rows' candidate rules, and the spans of a row, sorted by start, then by rule.
 
     Texts are read twice and not shuffled while the candidates are few enough to broadcast: once for the
-    postings and the rules that must scan, once to open the candidates.
+    postings, once for the rules that must scan and to open the candidates.
     """
-    rank = {r.kind: i for i, r in enumerate(rules)}
     indexed = [r for r in rules if trigram_query(r.regex)]
-    full = [r for r in rules if r not in indexed]
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("text_hash"))
-    scanned = base.select("doc_id", "text_hash", F.concat(F.array().cast(SPANS), *[spans(F.col("text"), r, rank[r.kind]) for r in full]).alias("a"))
-    if not indexed:
-        return scanned.select("doc_id", "text_hash", F.sort_array("a").alias("spans"))
-    grams = sorted({g for r in indexed for alt in trigram_query(r.regex) for g in alt})
-    hits = stored(candidates(build_index(docs.select("doc_id", "text"), grams), indexed), "secret-candidates")
-    hits = broadcast_if_small(hits.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "kinds"), MAX_BROADCAST)
-    opened = base.join(hits, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")))
-    one = lambda r: F.when(F.array_contains("kinds", r.kind), spans(F.col("text"), r, rank[r.kind])).otherwise(F.array().cast(SPANS))
-    opened = opened.select("d", "h", F.concat(*map(one, indexed)).alias("b")).where("size(b) > 0").dropDuplicates(["d", "h"])
-    out = scanned.join(opened, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
-    return out.select("doc_id", "text_hash", F.sort_array(F.concat("a", F.coalesce("b", F.array().cast(SPANS)))).alias("spans"))
+    text, at = F.coalesce("text", F.lit("")), docs
+    if indexed:
+        hits = stored(candidates(build_index(docs.select("doc_id", "text"), trigrams_of(indexed)), indexed), "secret-candidates")
+        hits = broadcast_if_small(hits.select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h"), F.col("kinds").alias("__kinds")), MAX_BROADCAST)
+        at = docs.join(hits, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__h")), "left")
+
+    def found(r: Rule, rank: int) -> Column:
+        every = spans(text, r, rank)
+        return F.when(F.array_contains("__kinds", r.kind), every).otherwise(F.array().cast(SPANS)) if r in indexed else every
+
+    return at, F.sort_array(F.concat(F.array().cast(SPANS), *[found(r, i) for i, r in enumerate(rules)]))
+
+
+def find(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """(doc_id, text_hash, spans) of every row of ``docs``."""
+    at, found = with_spans(docs.select("doc_id", "text"), rules)
+    return at.select("doc_id", F.xxhash64("text").alias("text_hash"), found.alias("spans"))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -199,23 +222,24 @@ def digest(found: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """``docs`` with every found secret replaced by MASK, n_chars renewed where that column exists; no row is dropped.
 
-    Only rows with a secret meet in the join; while these are few they are broadcast and texts stay put.
+    A row is masked where its spans are found, so they meet no text in a join of their own.
     """
-    found = stored(find(docs, rules).where("size(spans) > 0").dropDuplicates(["doc_id", "text_hash"]), "secrets")
-    found = broadcast_if_small(found.select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h"), F.col("spans").alias("__spans")), MAX_BROADCAST)
-    at = packed(docs, "doc_id", "text").join(found, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__h")), "left")
-    # overlapping spans of several rules become one
-    joined = F.aggregate(
-        "__spans",
-        F.array().cast("array<struct<s:int,e:int>>"),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (x["start"] < F.element_at(acc, -1)["e"]),
-            F.concat(
-                F.slice(acc, 1, F.size(acc) - 1),
-                F.array(F.struct(F.element_at(acc, -1)["s"].alias("s"), F.greatest(F.element_at(acc, -1)["e"], x["end"]).alias("e"))),
-            ),
-        ).otherwise(F.concat(acc, F.array(F.struct(x["start"].alias("s"), x["end"].alias("e"))))),
-    )
+    at, found = with_spans(packed(docs, "doc_id", "text"), rules)
+
+    def joined(every: Column) -> Column:
+        """Overlapping spans of several rules become one."""
+        return F.aggregate(
+            every,
+            F.array().cast("array<struct<s:int,e:int>>"),
+            lambda acc, x: F.when(
+                (F.size(acc) > 0) & (x["start"] < F.element_at(acc, -1)["e"]),
+                F.concat(
+                    F.slice(acc, 1, F.size(acc) - 1),
+                    F.array(F.struct(F.element_at(acc, -1)["s"].alias("s"), F.greatest(F.element_at(acc, -1)["e"], x["end"]).alias("e"))),
+                ),
+            ).otherwise(F.concat(acc, F.array(F.struct(x["start"].alias("s"), x["end"].alias("e"))))),
+        )
+
     text = F.col("text")
 
     def masked(m: Column) -> Column:
@@ -227,8 +251,9 @@ def redact(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
         )
         return F.concat(F.array_join(parts, ""), F.substring(text, F.element_at(m, -1)["e"] + 1, F.length(text)))
 
-    new = F.when(F.col("__spans").isNull(), text).otherwise(let(joined, masked))
-    at = at.select("doc", F.col("__spans").isNull().alias("clean"), new.alias("text"))
+    new = let(found, lambda x: F.when(F.size(x) > 0, let(joined(x), masked)))  # null without a secret
+    at = at.select("doc", text.alias("old"), new.alias("new"))
+    at = at.select("doc", F.col("new").isNull().alias("clean"), F.coalesce("new", "old").alias("text"))
     own = {c: F.col("doc").getField(c) for c in docs.columns} | {"text": F.col("text")}
     if "n_chars" in own:
         own["n_chars"] = F.when(F.col("clean"), own["n_chars"]).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))

@@ -421,6 +421,25 @@ def test_secrets_of_all_rules(spark):
         assert got[i] == ",".join(f"{x[3]}:{x[0]}:{x[2]}" for x in sorted(found))
 
 
+def test_secret_postings(spark):
+    """Postings of a document meet in one shuffle and without Python; then nothing is shuffled, texts or spans."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    texts = ["PassWord=x", "passwo swor rord", "AKI kia", "AKIA", None, "xoxb and tokens", "xoxb"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, "AKIA"), (None, "tokEN"), (3, "AKIA"), (3, "secret")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    rules = [r for r in secrets.RULES if secrets.trigram_query(r.regex)]
+    index = secrets.build_index(common.stored(df, "test"), sorted({g for r in rules for alt in secrets.trigram_query(r.regex) for g in alt}))
+    found = secrets.candidates(index.unionByName(index), rules)
+    assert plan(found).count("Exchange") == 1 and "ExistingRDD" not in plan(found)
+    want = collections.Counter()
+    for i, t in set(rows):
+        kinds = {r.kind for r in rules if any(all(g in (t or "").lower() for g in alt) for alt in secrets.trigram_query(r.regex))}
+        want.update([(i, frozenset(kinds))] if kinds else [])
+    assert collections.Counter((r["doc_id"], frozenset(r["kinds"])) for r in found.collect()) == want
+    for out in (secrets.find(df), secrets.redact(df)):
+        assert "Exchange hashpartitioning" not in plan(out) and out.count() == len(rows)
+
+
 def test_trigram_queries():
     assert secrets.trigram_query("[0-9a-f]{16,}") == []
     assert secrets.trigram_query("abc(?:de|fg)h?") == [frozenset({"abc", "bcd", "cde"}), frozenset({"abc", "bcf", "cfg"})]
