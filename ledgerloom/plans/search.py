@@ -87,18 +87,23 @@ def k1_index(spark: SparkSession, d: str) -> DataFrame:
     return both[0].unionByName(both[1])
 
 
-VEC_SQL = """vq AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0), vs AS (SELECT query_id, vec_id AS id, list_cosine_similarity(CAST(e AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS score FROM vq, embeddings),
+def _vec_sql(every: int) -> str:
+    """SQL of the first 50 hits of each ``every``-th vector."""
+    return f"""vq AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % {every} = 0), vs AS (SELECT query_id, vec_id AS id, list_cosine_similarity(CAST(e AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS score FROM vq, embeddings),
     vec AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM vs QUALIFY rank <= 50)"""
 
 
-def vector(spark: SparkSession, d: str) -> DataFrame:
+VEC_SQL = _vec_sql(100)
+
+
+def vector(spark: SparkSession, d: str, every: int = 100) -> DataFrame:
     e = t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return se.vector_search(e.where("id % 100 = 0").select(F.col("id").alias("query_id"), "vector"), e, 50)
+    return se.vector_search(e.where(f"id % {every} = 0").select(F.col("id").alias("query_id"), "vector"), e, 50)
 
 
-@query(f"WITH {VEC_SQL} SELECT query_id, id, rank, round(score, 5) AS score FROM vec")
+@query(f"WITH {_vec_sql(50)} SELECT query_id, id, rank, round(score, 5) AS score FROM vec")
 def k2_vector(spark: SparkSession, d: str) -> DataFrame:
-    return vector(spark, d).select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 5).alias("score"))
+    return vector(spark, d, 50).select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 5).alias("score"))
 
 
 @query(f"WITH {VEC_SQL} SELECT CAST(query_id AS VARCHAR) AS query_id, 'v' || id AS id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, 'v' || id) AS rank, round(score, 5) AS score FROM vs QUALIFY rank <= 50")

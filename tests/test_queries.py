@@ -78,3 +78,10 @@ def test_grounding_packs_are_whole(spark, sf):
         longest = max(longest, used)
         assert got.pop(q, None) == (hashlib.md5("\n".join(pack).encode()).hexdigest() if pack else None)
     assert not got and longest > 3000 and most > 20
+
+
+def test_every_fiftieth_vector_is_searched(spark, sf):
+    """K2 asks with each vector whose id is divisible by 50 and gives its first 50 hits."""
+    ids = [r["vec_id"] for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    got = {r["query_id"]: r["count"] for r in registry.QUERIES["k2_vector"](spark, sf).groupBy("query_id").count().collect()}
+    assert got == {i: min(50, len(ids)) for i in ids if i % 50 == 0}
