@@ -268,15 +268,15 @@ def e19_embedding_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {VEC_SQL}, x AS (SELECT q.vec_id AS query_id, CASE WHEN q.label % 2 = 0 THEN 'bg' ELSE 'en' END AS lang, CASE WHEN count(e.vec_id) > 0 THEN 1 ELSE 0 END AS hit FROM embeddings q
-        LEFT JOIN (SELECT query_id, id FROM vec WHERE rank BETWEEN 2 AND 5) v ON v.query_id = q.vec_id LEFT JOIN embeddings e ON e.vec_id = v.id AND e.label = q.label WHERE q.vec_id % 100 = 0 GROUP BY q.vec_id, q.label)
+    f"""WITH {_vec_sql(50)}, x AS (SELECT q.vec_id AS query_id, CASE WHEN q.label % 2 = 0 THEN 'bg' ELSE 'en' END AS lang, CASE WHEN count(e.vec_id) > 0 THEN 1 ELSE 0 END AS hit FROM embeddings q
+        LEFT JOIN (SELECT query_id, id FROM vec WHERE rank BETWEEN 2 AND 5) v ON v.query_id = q.vec_id LEFT JOIN embeddings e ON e.vec_id = v.id AND e.label = q.label WHERE q.vec_id % 50 = 0 GROUP BY q.vec_id, q.label)
         SELECT lang, count(*) AS queries, CAST(sum(hit) AS BIGINT) AS hits, round(avg(hit), 4) AS recall FROM x GROUP BY 1"""
 )
 def e20_recall(spark: SparkSession, d: str) -> DataFrame:
     """Vectors of the query's label are expected among the first five; the query itself doesn't count."""
     e = t(spark, d, "embeddings")
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    hits = vector(spark, d)
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    hits = vector(spark, d, 50)
     # of the hits' pairs those with one label; a label's ids are never listed as a whole
     same = hits.select("query_id", "id").join(q, "query_id").join(e.select(F.col("vec_id").alias("id"), F.col("label").alias("own")), "id")
     expected = same.where("label = own and id <> query_id").select("query_id", "id")

@@ -85,3 +85,9 @@ def test_every_fiftieth_vector_is_searched(spark, sf):
     ids = [r["vec_id"] for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     got = {r["query_id"]: r["count"] for r in registry.QUERIES["k2_vector"](spark, sf).groupBy("query_id").count().collect()}
     assert got == {i: min(50, len(ids)) for i in ids if i % 50 == 0}
+
+
+def test_every_fiftieth_vector_counts_for_recall(spark, sf):
+    """E20 scores each vector whose id is divisible by 50."""
+    n = spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id % 50 = 0").count()
+    assert sum(r["queries"] for r in registry.QUERIES["e20_recall"](spark, sf).collect()) == n
