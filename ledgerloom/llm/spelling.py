@@ -78,9 +78,18 @@ def less_one(word: Column) -> Column:
     return F.array_union(F.array(word), cut)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` for joins by shuffle, unless the other side has a hint to be sent.
+
+    Spark takes what is exploded for no more rows than before and a stored table for as small as its compressed file, and
+    would collect and send tables that grow with the corpus.
+    """
+    return df.hint("merge")
+
+
 def _pairs(rows: DataFrame) -> DataFrame:
     """Pairs of different words with equal keys whose edit distance is one, the smaller word first."""
-    a, b = (rows.select("key", F.col("word").alias(f"word_{x}")) for x in "ab")
+    a, b = (shuffled(rows.select("key", F.col("word").alias(f"word_{x}"))) for x in "ab")
     return a.join(b, "key").where("word_a < word_b").where(F.levenshtein("word_a", "word_b", 1) == 1).drop("key")
 
 
@@ -91,11 +100,11 @@ def near_words(words: DataFrame, parts: int = PARTS, group: int = GROUP) -> Data
     for finer in (ends_of, less_one):
         full = stored(rows.groupBy("key").agg(F.count("*").alias("k")).where(F.col("k") > group).select("key"), "spell-full")
         hint = broadcast_if_small(full, FEW)
-        found.append(_pairs(rows.join(hint, "key", "left_anti")))
-        rows = rows.join(hint, "key", "left_semi").select(F.explode(finer(F.col("word"))).alias("x"), "key", "word").select(F.xxhash64("key", "x").alias("key"), "word")
+        found.append(_pairs(shuffled(rows).join(hint, "key", "left_anti")))
+        rows = shuffled(rows).join(hint, "key", "left_semi").select(F.explode(finer(F.col("word"))).alias("x"), "key", "word").select(F.xxhash64("key", "x").alias("key"), "word")
     pairs = reduce(DataFrame.unionByName, [*found, _pairs(rows)]).distinct()
     for x in "ab":
-        pairs = pairs.join(words.select(F.col("word").alias(f"word_{x}"), F.col("n").alias(f"n_{x}")), f"word_{x}")
+        pairs = pairs.join(shuffled(words.select(F.col("word").alias(f"word_{x}"), F.col("n").alias(f"n_{x}"))), f"word_{x}")
     return pairs
 
 
@@ -104,7 +113,7 @@ def roots(forms: DataFrame) -> DataFrame:
     cur = stored(forms.select("word", F.col("form").alias("root")), "spell-roots")
     for _ in range(MAX_ROUNDS):
         further = cur.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        new = stored(cur.join(further, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "spell-roots")
+        new = stored(cur.join(shuffled(further), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "spell-roots")
         discard(cur)
         cur = new.drop("moved")
         if new.where("moved").isEmpty():
@@ -117,11 +126,11 @@ def variants(words: DataFrame, factor: int = FACTOR, parts: int = PARTS, group:
     pairs = near_words(words, parts, group)
     both = pairs.unionByName(pairs.select(F.col("word_b").alias("word_a"), F.col("n_b").alias("n_a"), F.col("word_a").alias("word_b"), F.col("n_a").alias("n_b")))
     best = both.groupBy(F.col("word_a").alias("word")).agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("n_b")).alias("n"), F.col("word_b").alias("word"))).alias("best"))
-    at = words.join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "best")
+    at = words.join(shuffled(best), "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "best")
     is_form = -F.col("best.n") >= factor * F.col("n")
     at = stored(at.select("word", "n", "n_near", F.when(is_form, F.col("best.word")).alias("form"), F.when(is_form, -F.col("best.n")).alias("form_n")), "spell-forms")
     ends = roots(at.where("form is not null"))
-    return at.join(ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return at.join(shuffled(ends), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def group_variants(docs: DataFrame) -> DataFrame:

@@ -248,3 +248,14 @@ def test_partitions_differ_by_two_at_most(spark):
     df = spark.createDataFrame(rows, "a string, b string")
     for r in df.select(spelling.partition_hashes(df.a).alias("x"), spelling.partition_hashes(df.b).alias("y")).collect():
         assert 1 <= sum(p != q for p, q in zip(r["x"], r["y"], strict=True)) <= 2
+
+
+def test_spelling_sends_no_table_that_grows(spark):
+    """Spark takes exploded signatures and stored words for small tables; their joins go by shuffle all the same."""
+    words = spark.createDataFrame([("wordless", 3), ("wordles", 40), ("another", 5)], "word string, n long")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    rows = spelling.signatures(words.select("word", spelling.partition_hashes(F.col("word")).alias("h")))
+    assert "SortMergeJoin" in plan(spelling._pairs(rows)) and "Broadcast" not in plan(spelling._pairs(rows))
+    out = spelling.variants(words)
+    assert "Broadcast" not in plan(out)
+    assert {(r["word"], r["form"]) for r in out.collect()} == {("wordless", "wordles"), ("wordles", None), ("another", None)}
