@@ -1,9 +1,11 @@
 """Curation over files that are rendered from the driver's tables, so the source columns are the expected cells."""
 
-import io
-import zipfile
+import functools
+import struct
+import zlib
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,21 +92,41 @@ def a5_chunked(spark: SparkSession, d: str) -> DataFrame:
     return cells.where("row_no > 0").select(F.col("cells")[0].alias("id"), F.md5(F.col("cells")[1]).alias("fp"))
 
 
+_SPREADSHEET = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+
+
+def _zipped(at: int, name: bytes, data: bytes) -> tuple[bytes, bytes]:
+    """An uncompressed part that begins at byte ``at`` of a zip file, and its entry in the directory."""
+    head = struct.pack("<HHHHHIIIHH", 20, 0, 0, 0, 0x21, zlib.crc32(data), len(data), len(data), len(name), 0)
+    return b"PK\x03\x04" + head + name + data, b"PK\x01\x02\x14\0" + head + struct.pack("<HHHII", 0, 0, 0, 0, at) + name
+
+
+@functools.lru_cache(64)
+def _workbook_frame(names: tuple[str, ...]) -> tuple[bytes, bytes]:
+    """The parts that workbooks with sheets of these names share, and their entries."""
+    sheets = "".join(f'<sheet name="{n}" sheetId="{i + 1}" r:id="rId{i + 1}"/>' for i, n in enumerate(names))
+    rels = "".join(f'<Relationship Id="rId{i + 1}" Target="worksheets/s{i + 1}.xml"/>' for i in range(len(names)))
+    parts = entries = b""
+    for name, text in (
+        (b"xl/workbook.xml", f"<workbook {_SPREADSHEET}><sheets>{sheets}</sheets></workbook>"),
+        (b"xl/_rels/workbook.xml.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{rels}</Relationships>'),
+        (b"xl/sharedStrings.xml", f"<sst {_SPREADSHEET}><si><t>name</t></si></sst>"),
+    ):
+        part, entry = _zipped(len(parts), name, text.encode())
+        parts, entries = parts + part, entries + entry
+    return parts, entries
+
+
 def _workbook(rows: list[tuple[str, list[list[str]]]]) -> bytes:
     """A minimal workbook: shared strings, inline strings, numbers and booleans."""
-    out = io.BytesIO()
-    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
-    with zipfile.ZipFile(out, "w") as z:
-        sheets = "".join(f'<sheet name="{n}" sheetId="{i + 1}" r:id="rId{i + 1}"/>' for i, (n, _) in enumerate(rows))
-        z.writestr("xl/workbook.xml", f"<workbook {ns}><sheets>{sheets}</sheets></workbook>")
-        rels = "".join(f'<Relationship Id="rId{i + 1}" Target="worksheets/s{i + 1}.xml"/>' for i in range(len(rows)))
-        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{rels}</Relationships>')
-        z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>name</t></si></sst>")
-        for i, (_, cells) in enumerate(rows):
-            body = "".join("<row>" + "".join(f'<c r="{chr(65 + j)}{r + 1}" t="inlineStr"><is><t>{c}</t></is></c>' for j, c in enumerate(row) if c) + "</row>" for r, row in enumerate(cells))
-            head = '<row><c r="A1" t="s"><v>0</v></c><c r="C1"><v>7</v></c><c r="D1" t="b"><v>1</v></c></row>'
-            z.writestr(f"xl/worksheets/s{i + 1}.xml", f"<worksheet {ns}><sheetData>{head}{body}</sheetData></worksheet>")
-    return out.getvalue()
+    parts, entries = _workbook_frame(tuple(n for n, _ in rows))
+    for i, (_, cells) in enumerate(rows):
+        body = "".join(["<row>" + "".join([f'<c r="{chr(65 + j)}{r + 1}" t="inlineStr"><is><t>{c}</t></is></c>' for j, c in enumerate(row) if c]) + "</row>" for r, row in enumerate(cells)])
+        head = '<row><c r="A1" t="s"><v>0</v></c><c r="C1"><v>7</v></c><c r="D1" t="b"><v>1</v></c></row>'
+        part, entry = _zipped(len(parts), f"xl/worksheets/s{i + 1}.xml".encode(), f"<worksheet {_SPREADSHEET}><sheetData>{head}{body}</sheetData></worksheet>".encode())
+        parts, entries = parts + part, entries + entry
+    n = len(rows) + 3
+    return parts + entries + struct.pack("<4sHHHHIIH", b"PK\x05\x06", 0, 0, n, n, len(entries), len(parts), 0)
 
 
 @query(
@@ -131,16 +153,17 @@ def a6_workbooks(spark: SparkSession, d: str) -> DataFrame:
 def a6_order_workbooks(spark: SparkSession, d: str) -> DataFrame:
     """A workbook an order; every tenth has three sheets of which two would have one path."""
 
-    def write(parts):
-        for p in parts:
-            data = []
-            for rid, rows in zip(p["resource_id"], p["rows"], strict=True):
-                cells = [[str(r["l_linenumber"]), r["l_returnflag"]] for r in rows]
+    def write(batches):
+        for batch in batches:
+            ids, data = batch.column(0).to_pylist(), []
+            for rid, numbers, flags in zip(ids, batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                cells = list(zip(numbers, flags, strict=True))
                 data.append(_workbook([(name, cells) for name in (["Lines", "LINES!", "§"] if int(rid) % 10 == 0 else ["Lines"])]))
-            yield pd.DataFrame({"resource_id": p["resource_id"], "parser": "xlsx", "content": data})
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(["xlsx"] * len(ids)), pa.array(data, pa.binary())], ["resource_id", "parser", "content"])
 
     by = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("resource_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_returnflag"))).alias("rows"))
-    cells = files.cells_of(by.mapInPandas(write, "resource_id string, parser string, content binary"))
+    by = by.select("resource_id", F.col("rows.l_linenumber").cast("array<string>").alias("numbers"), F.col("rows.l_returnflag").alias("flags"))
+    cells = files.cells_of(by.mapInArrow(write, "resource_id string, parser string, content binary"))
     ordered = F.array_sort(F.collect_list(F.struct("row_no", F.array_join("cells", "|").alias("c"))))
     return cells.groupBy("resource_id", "sheet", "slug").agg(F.count("*").alias("n_rows"), F.array_join(F.transform(ordered, lambda x: x["c"]), ";").alias("cells"))
 

@@ -6,10 +6,13 @@ Files come as rows with a binary column, as Spark's binaryFile source gives them
 from __future__ import annotations
 
 import csv
+import functools
 import io
 import itertools
 import re
+import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -164,37 +167,92 @@ def sheet_slug(name: str, taken: set[str]) -> str:
     return free
 
 
+#: Bytes of a part that is read at once (a larger sheet is read as a stream), and of one whose content is remembered.
+SMALL_PART, SHORT_PART = 1 << 20, 1 << 14
+
+
+def _content(z: zipfile.ZipFile, data: bytes, name: str) -> bytes:
+    """A part of the workbook ``data``, checked; plain and deflated parts are cut out without a file object."""
+    info = z.getinfo(name)
+    if info.flag_bits & 1 or info.compress_type not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED) or info.file_size > SMALL_PART or data[info.header_offset : info.header_offset + 4] != b"PK\x03\x04":
+        return z.read(name)
+    at = info.header_offset + 30 + sum(struct.unpack_from("<HH", data, info.header_offset + 26))
+    out = data[at : at + info.compress_size]
+    if info.compress_type == zipfile.ZIP_DEFLATED:
+        out = zlib.decompressobj(-15).decompress(out)
+    if zlib.crc32(out) != info.CRC:
+        raise zipfile.BadZipFile(f"Bad CRC-32 for file {name!r}")
+    return out
+
+
+def _strings(part: bytes) -> list[str]:
+    return ["".join(t.text or "" for t in si.iter(f"{_MAIN}t")) for si in ElementTree.fromstring(part).iter(f"{_MAIN}si")]
+
+
+def _targets(part: bytes) -> dict[str | None, str | None]:
+    return {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(part)}
+
+
+def _sheets(part: bytes) -> list[tuple[str | None, str | None]]:
+    return [(x.get("name"), x.get(f"{_REL}id")) for x in ElementTree.fromstring(part).iter(f"{_MAIN}sheet")]
+
+
+@functools.lru_cache(256)
+def _remembered(read, part: bytes):
+    return read(part)
+
+
+def _read(read, part: bytes):
+    """What ``read`` makes of a part; many workbooks share their short ones, which are read once."""
+    return _remembered(read, part) if len(part) <= SHORT_PART else read(part)
+
+
+@functools.lru_cache(4096)
+def _column(reference: str) -> int:
+    """Number of the column of a cell such as C7, from 1; 0 without one."""
+    at = 0
+    for ch in re.match("[A-Z]*", reference)[0]:
+        at = at * 26 + ord(ch) - 64
+    return at
+
+
+def _row_cells(row: ElementTree.Element, shared: list[str]) -> list[str]:
+    cells: list[str] = []
+    for c in row.iter(f"{_MAIN}c"):
+        at = _column(c.get("r") or "")
+        if at - 1 > len(cells):
+            cells += [""] * (at - 1 - len(cells))
+        kind = c.get("t")
+        if kind == "inlineStr":
+            cells.append("".join([t.text or "" for t in c.iter(f"{_MAIN}t")]))
+            continue
+        value = next((v.text or "" for v in c if v.tag == f"{_MAIN}v"), "")
+        cells.append(shared[int(value)] if kind == "s" else ("true" if value == "1" else "false") if kind == "b" else value)
+    return cells
+
+
 def parse_workbook(data: bytes) -> Iterator[tuple[int, str, list[str]]]:
     """(number of the sheet, its name, cells) of every row in the workbook's order of sheets; empty sheets give nothing."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        names = set(z.namelist())
-        shared: list[str] = []
-        if "xl/sharedStrings.xml" in names:
-            shared = ["".join(t.text or "" for t in si.iter(f"{_MAIN}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_MAIN}si")]
-        rels = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        for number, sheet in enumerate(ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_MAIN}sheet")):
-            target = rels[sheet.get(f"{_REL}id")].lstrip("/")
-            with z.open(target if target.startswith("xl/") else f"xl/{target}") as f:
+        shared = _read(_strings, _content(z, data, "xl/sharedStrings.xml")) if "xl/sharedStrings.xml" in z.NameToInfo else []
+        rels = _read(_targets, _content(z, data, "xl/_rels/workbook.xml.rels"))
+        for number, (name, rel) in enumerate(_read(_sheets, _content(z, data, "xl/workbook.xml"))):
+            target = rels[rel].lstrip("/")
+            part = target if target.startswith("xl/") else f"xl/{target}"
+            if z.getinfo(part).file_size <= SMALL_PART:
+                try:
+                    root = ElementTree.fromstring(_content(z, data, part))
+                except (ElementTree.ParseError, zlib.error, zipfile.BadZipFile):
+                    root = None  # as a stream it gives the rows before the fault
+                if root is not None:
+                    for row in root.iter(f"{_MAIN}row"):
+                        yield number, name, _row_cells(row, shared)
+                    continue
+            with z.open(part) as f:
                 for _, row in ElementTree.iterparse(f):
-                    if row.tag != f"{_MAIN}row":
-                        continue
-                    cells: list[str] = []
-                    for c in row.iter(f"{_MAIN}c"):
-                        at = 0
-                        for ch in re.match("[A-Z]*", c.get("r") or "")[0]:
-                            at = at * 26 + ord(ch) - 64
-                        cells += [""] * (at - 1 - len(cells)) if at else []
-                        value = c.findtext(f"{_MAIN}v") or ""
-                        kind = c.get("t")
-                        if kind == "s":
-                            value = shared[int(value)]
-                        elif kind == "inlineStr":
-                            value = "".join(t.text or "" for t in c.iter(f"{_MAIN}t"))
-                        elif kind == "b":
-                            value = "true" if value == "1" else "false"
-                        cells.append(value)
-                    yield number, sheet.get("name"), cells
-                    row.clear()
+                    if row.tag == f"{_MAIN}row":
+                        yield number, name, _row_cells(row, shared)
+                        row.clear()
 
 
 CELLS = "resource_id string, sheet string, slug string, row_no long, width int, cells array<string>, error string"

@@ -1,5 +1,11 @@
 """Captured bytes read from their folder, and XML as tables."""
 
+import io
+import zipfile
+
+import pytest
+
+from ledgerloom.plans.curation import _workbook
 from ledgerloom.sources import files
 
 
@@ -29,3 +35,28 @@ def test_broken_xml_goes_to_quarantine(spark):
     rows = spark.createDataFrame([("ok", "<r><v>1</v><v>2</v></r>"), ("bad", "<r><v></r>"), ("null", None), ("text", "no xml")], "resource_id string, text string")
     good, bad = files.quarantine(files.xml_cells(rows))
     assert {r["resource_id"] for r in bad.collect()} == {"bad", "null", "text"} and good.count() == 3
+
+
+def test_workbooks_share_what_is_read_of_their_short_parts():
+    """Plain, deflated and streamed sheets give the same cells; a broken sheet gives the rows before its fault, and a changed byte is an error."""
+    sheets = [("Lines", [["1", "R"], ["", "N&amp;1"]]), ("§", [["2", ""]])]
+    data = _workbook(sheets)
+    cells = [(0, "Lines", ["name", "", "7", "true"]), (0, "Lines", ["1", "R"]), (0, "Lines", ["", "N&1"]), (1, "§", ["name", "", "7", "true"]), (1, "§", ["2"])]
+    files._remembered.cache_clear()
+    assert [list(files.parse_workbook(data)) for _ in range(5)] == [cells] * 5
+    assert (files._remembered.cache_info().misses, files._remembered.cache_info().hits) == (3, 12)
+
+    def again(change=lambda name, part: part, how=zipfile.ZIP_DEFLATED):
+        out = io.BytesIO()
+        with zipfile.ZipFile(io.BytesIO(data)) as z, zipfile.ZipFile(out, "w", how) as w:
+            for name in z.namelist():
+                w.writestr(name, change(name, z.read(name)))
+        return out.getvalue()
+
+    assert list(files.parse_workbook(again())) == list(files.parse_workbook(again(how=zipfile.ZIP_BZIP2))) == cells
+    wide = again(lambda name, part: part.replace(b"</sheetData>", b" " * (2 * files.SMALL_PART) + b"</sheetData>"))
+    assert list(files.parse_workbook(wide)) == cells
+    rows = files.parse_workbook(again(lambda name, part: part.replace(b"</row><row><c r=\"B2\"", b"</row></broken><row><c r=\"B2\"")))
+    assert next(rows) == cells[0]
+    with pytest.raises(zipfile.BadZipFile):
+        list(files.parse_workbook(data.replace(b">R<", b">S<")))
