@@ -21,52 +21,70 @@ TRUE_WORDS = ["true", "да", "yes", "1", "y"]
 FALSE_WORDS = ["false", "не", "no", "0", "n"]
 
 
+#: The characters of BLANK.
+BLANKS = " \t\n\x0b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def trim(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{BLANK}+|{BLANK}+$", "")
+    return F.btrim(c, F.lit(BLANKS))
+
+
+_ISO = r"^\d{4}-\d{2}-\d{2}(?:T.+)?$"
+_DMY = r"^(\d{1,2})[./-](\d{1,2})[./-](\d{4})$"
+_NAMED = r"^(\d{1,2})\s+(\p{L}+)\s+(\d{4})$"
+
 
+def _month(low: Column) -> Column:
+    """Number of the month that a lower-case date names; 0 for another word."""
+    return F.array_position(F.array(*map(F.lit, MONTHS)), F.regexp_extract(low, _NAMED, 2))
 
-def parse_date(c: Column) -> Column:
+
+def parse_date(c: Column, trimmed: bool = False) -> Column:
     """YYYY-MM-DD or null: ISO date or timestamp, day-month-year, or day, month name, year. Ranges aren't checked."""
-    t = trim(c)
-    dmy = r"^(\d{1,2})[./-](\d{1,2})[./-](\d{4})$"
-    named = r"^(\d{1,2})\s+(\p{L}+)\s+(\d{4})$"
+    t = c if trimmed else trim(c)
     two = lambda x: F.lpad(x.cast("int").cast("string"), 2, "0")
     low = F.lower(t)
-    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.regexp_extract(low, named, 2))
     return (
-        F.when(F.rlike(t, F.lit(r"^\d{4}-\d{2}-\d{2}(?:T.+)?$")), F.substring(t, 1, 10))
+        F.when(F.rlike(t, F.lit(_ISO)), F.substring(t, 1, 10))
         .when(
-            F.rlike(t, F.lit(dmy)),
-            F.concat_ws("-", F.regexp_extract(t, dmy, 3), two(F.regexp_extract(t, dmy, 2)), two(F.regexp_extract(t, dmy, 1))),
+            F.rlike(t, F.lit(_DMY)),
+            F.concat_ws("-", F.regexp_extract(t, _DMY, 3), two(F.regexp_extract(t, _DMY, 2)), two(F.regexp_extract(t, _DMY, 1))),
         )
         .when(
-            F.rlike(low, F.lit(named)) & (month > 0),
-            F.concat_ws("-", F.regexp_extract(low, named, 3), two(month), two(F.regexp_extract(low, named, 1))),
+            F.rlike(low, F.lit(_NAMED)) & (_month(low) > 0),
+            F.concat_ws("-", F.regexp_extract(low, _NAMED, 3), two(_month(low)), two(F.regexp_extract(low, _NAMED, 1))),
         )
     )
 
 
+def is_date(c: Column, trimmed: bool = False) -> Column:
+    """Whether ``parse_date`` gives a date, without making it."""
+    t = c if trimmed else trim(c)
+    low = F.lower(t)
+    return F.rlike(t, F.lit(_ISO)) | F.rlike(t, F.lit(_DMY)) | (F.rlike(low, F.lit(_NAMED)) & (_month(low) > 0))
+
+
 GROUPED = f"^-?\\d{{1,3}}(?:(?:{BLANK}|\\.)\\d{{3}})*(?:,\\d+)?$"
 PLAIN = r"^-?\d+(?:\.\d+)?$"
 
 
-def number_rule(c: Column) -> Column:
+def number_rule(c: Column, trimmed: bool = False) -> Column:
     """decimal-comma-to-point, decimal-point, integer, or null when not a number."""
-    t = trim(c)
+    t = c if trimmed else trim(c)
     return (
         F.when(F.rlike(t, F.lit(GROUPED)), F.when(F.contains(t, F.lit(",")), "decimal-comma-to-point").otherwise("integer"))
         .when(F.rlike(t, F.lit(PLAIN)), F.when(F.contains(t, F.lit(".")), "decimal-point").otherwise("integer"))
     )
 
 
-def parse_number(c: Column) -> Column:
-    t = trim(c)
+def parse_number(c: Column, trimmed: bool = False) -> Column:
+    t = c if trimmed else trim(c)
     grouped = F.replace(F.regexp_replace(t, f"{BLANK}|\\.", ""), F.lit(","), F.lit("."))
     return F.when(F.rlike(t, F.lit(GROUPED)), grouped).when(F.rlike(t, F.lit(PLAIN)), t).try_cast("double")
 
 
-def parse_boolean(c: Column) -> Column:
-    t = F.lower(trim(c))
+def parse_boolean(c: Column, trimmed: bool = False) -> Column:
+    t = F.lower(c if trimmed else trim(c))
     return F.when(t.isin(TRUE_WORDS), True).when(t.isin(FALSE_WORDS), False)
 
 

@@ -25,15 +25,14 @@ def infer_types(values: DataFrame, keys: list[str], value: str = "value") -> Dat
     One conditional sum per candidate type, combined before the shuffle; no values are gathered. A type
     needs nine tenths of the non-blank values; whole numbers also count as decimals.
     """
-    v = F.col(value)
-    blank = v.isNull() | (tx.trim(v) == "")
-    date = tx.parse_date(v).isNotNull()
-    rule = tx.number_rule(v)
-    integer = ~date & (rule == "integer")
-    decimal = ~date & rule.isNotNull() & (rule != "integer")
-    boolean = ~date & rule.isNull() & tx.parse_boolean(v).isNotNull()
-    n = lambda c: F.count_if(~blank & F.coalesce(c, F.lit(False)))
-    sums = values.groupBy(*keys).agg(F.count_if(~blank).alias("n"), F.count_if(blank).alias("blank"), n(date).alias("d"), n(integer).alias("i"), n(decimal).alias("f"), n(boolean).alias("b"))
+    v, t = F.col(value), F.col("__t")
+    # a cell is trimmed once and has one kind, so no rule runs twice on it
+    kind = F.coalesce(
+        F.when(v.isNull() | (t == ""), "blank"), F.when(tx.is_date(t, trimmed=True), "datetime"), tx.number_rule(t, trimmed=True), F.when(tx.parse_boolean(t, trimmed=True).isNotNull(), "boolean"), F.lit("string")
+    )
+    kinds = values.withColumn("__t", tx.trim(v)).select(*keys, kind.alias("__kind"))
+    n = lambda *names: F.count_if(F.col("__kind").isin(*names))
+    sums = kinds.groupBy(*keys).agg(F.count_if(F.col("__kind") != "blank").alias("n"), n("blank").alias("blank"), n("datetime").alias("d"), n("integer").alias("i"), n("decimal-comma-to-point", "decimal-point").alias("f"), n("boolean").alias("b"))
     enough = lambda c: c >= F.col("n") * 0.9
     chosen = [("datetime", F.col("d")), ("integer", F.col("i")), ("decimal", F.col("f") + F.col("i")), ("boolean", F.col("b"))]
     kind = F.when(F.col("n") == 0, "string")
@@ -46,15 +45,28 @@ def infer_types(values: DataFrame, keys: list[str], value: str = "value") -> Dat
 
 def typed_text(value: Column, kind: Column) -> Column:
     """A cell in its column's type, written as text: blank is null, what can't be parsed stays."""
-    number = tx.parse_number(value)
-    whole = F.when(number == F.floor(number), F.floor(number).cast("string"))
-    out = (
-        F.when(kind == "datetime", tx.parse_date(value))
-        .when(kind == "integer", whole)
-        .when(kind == "decimal", number.cast("string"))
-        .when(kind == "boolean", tx.parse_boolean(value).cast("string"))
+    once = lambda c, body: F.transform(F.array(c), body)[0]  # noqa: E731  a lambda variable is worked out once
+    whole = lambda t: once(tx.parse_number(t, trimmed=True), lambda x: F.when(x == F.floor(x), F.floor(x).cast("string")))
+    out = lambda t: (
+        F.when(kind == "datetime", tx.parse_date(t, trimmed=True))
+        .when(kind == "integer", whole(t))
+        .when(kind == "decimal", tx.parse_number(t, trimmed=True).cast("string"))
+        .when(kind == "boolean", tx.parse_boolean(t, trimmed=True).cast("string"))
     )
-    return F.when(value.isNull() | (tx.trim(value) == ""), None).otherwise(F.coalesce(out, value))
+    return once(tx.trim(value), lambda t: F.when(t != "", F.coalesce(out(t), value)))
+
+
+def typed_rows(rows: DataFrame, types: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` (width, cells) with ``typed``, the typed text of every cell within the width; a table's types meet its whole rows, and no cell is a row.
+
+    types: infer_types() by ``keys`` and col_no.
+    """
+    own = types.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.map_from_entries(F.collect_list(F.struct("col_no", "type"))).alias("__types"))
+    same = F.lit(True)
+    for key in keys:
+        same = same & F.col(key).eqNullSafe(F.col(f"__{key}"))
+    at = rows.join(own, same).drop(*[f"__{k}" for k in keys])
+    return at.withColumn("typed", F.transform(F.slice("cells", F.lit(1), F.col("width")), lambda c, i: typed_text(c, F.try_element_at("__types", i)))).drop("__types")
 
 
 def apply_types(values: DataFrame, types: DataFrame, keys: list[str], value: str = "value") -> DataFrame:

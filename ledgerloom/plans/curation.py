@@ -296,10 +296,9 @@ def e1_column_types(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {LINES_SQL} SELECT CAST(l_orderkey AS VARCHAR) AS resource_id, row_no, CAST(l_linenumber AS VARCHAR) AS number, strftime(l_shipdate, '%Y-%m-%d') AS day, CASE WHEN l_linenumber % 2 = 0 THEN 'true' ELSE 'false' END AS flag FROM ln""")
 def e2_typed_cells(spark: SparkSession, d: str) -> DataFrame:
-    cells = stored(_cells(spark, d), "cells")
-    typed = curate.apply_types(cells, curate.infer_types(cells, ["resource_id", "col_no"]), ["resource_id", "col_no"])
-    value = lambda i: F.max(F.when(F.col("col_no") == i, F.col("typed")))
-    return typed.groupBy("resource_id", "row_no").agg(value(0).alias("number"), value(1).alias("day"), value(4).alias("flag"))
+    rows = stored(files.cells_of(_line_files(spark, d)).select("resource_id", "sheet", "row_no", "width", "cells"), "cells")
+    typed = curate.typed_rows(rows.where("row_no > 0"), curate.infer_types(curate.long_cells(rows), ["resource_id", "col_no"]), ["resource_id"])
+    return typed.select("resource_id", "row_no", F.get("typed", F.lit(0)).alias("number"), F.get("typed", F.lit(1)).alias("day"), F.get("typed", F.lit(4)).alias("flag"))
 
 
 @query("SELECT CAST(l_orderkey AS VARCHAR) AS resource_id, 'no,data,tsena,belezhka,da' AS names FROM (SELECT DISTINCT l_orderkey FROM lineitem)")

@@ -327,3 +327,19 @@ def test_bucketed_children_join_without_a_shuffle(spark, sf):
         assert stored_once.count() == spark.read.parquet(f"{sf}/orders.parquet").count()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_whole_rows_are_typed_as_cells_are(spark):
+    """Types meet whole rows: the same texts as cell by cell, without a row a cell; short and long rows, blanks, sheets and tables of other types."""
+    rows = [
+        ("a", 0, 3, ["n", "d", "x"]), ("a", 1, 3, [" 1 ", "5 май 2026", " да﻿"]), ("a", 2, 3, ["2", " 3/4/2024\n", "не", "beyond"]), ("a", 3, 3, ["3"]), ("a", 4, 3, [None, " ", ""]),
+        ("b", 0, 2, ["p", "q"]), ("b", 1, 2, ["1 234,5", "1.234"]), ("b", 2, 2, ["-3", "x"]), (None, 0, 1, ["k"]), (None, 1, 1, ["2024-02-03T10:00"]),
+    ]
+    table = spark.createDataFrame([(r, None, n, w, c) for r, n, w, c in rows], "resource_id string, sheet string, row_no long, width int, cells array<string>")
+    cells, keys = curate.long_cells(table), ["resource_id", "col_no"]
+    types = curate.infer_types(cells, keys)
+    want = {(r["resource_id"], r["row_no"], r["col_no"]): r["typed"] for r in curate.apply_types(cells, types, keys).collect()}
+    out = curate.typed_rows(table.where("row_no > 0"), types, ["resource_id"])
+    got = {(r["resource_id"], r["row_no"], i): x for r in out.collect() for i, x in enumerate(r["typed"])}
+    assert got == want and len(got) == 15
+    assert [got["a", 1, i] for i in range(3)] == ["1", "2026-05-05", "true"] and got["a", 2, 1] == "2024-04-03" and got["b", 1, 0] == "1234.5" and got[None, 1, 0] == "2024-02-03" and got["a", 4, 1] is None
